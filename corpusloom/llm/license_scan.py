@@ -7,11 +7,11 @@ inserted or dropped words, are merged; a merged span is verified by how many of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, lower_ascii, table
+from .common import BROADCAST_ROWS, UPPER, table
 
 GRAM = 3
 #: Diagonals at most this far apart are one span.
@@ -41,11 +41,13 @@ TEMPLATES = (
 )
 
 
-def with_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, __text: hash of the text, __words) of docs (doc_id, text)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.filter(F.split(lower_ascii(text), NO_WORD), lambda w: w != "")
-    return docs.select("doc_id", F.xxhash64(text).alias("__text"), words.alias("__words"))
+#: Words of the column text. What a lambda refers to is bound by a lambda around it (a one-element array takes the
+#: place of a let), so no rewrite of the plan can make it evaluate a text's words once for each word.
+_WORDS = f"filter(split(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), r'{NO_WORD}'), w -> w != '')"
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def template_grams(spark, templates) -> DataFrame:
@@ -58,8 +60,9 @@ def template_grams(spark, templates) -> DataFrame:
 
 def license_spans(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """Verified spans (doc_id, __text, label, template, first, last, votes, cover) in docs (doc_id, text)."""
-    grams = F.expr("if(size(__words) < 3, array(), transform(sequence(0, size(__words) - 3), i -> xxhash64(__words[i], __words[i + 1], __words[i + 2])))")
-    rolling = with_words(docs).select("doc_id", "__text", F.posexplode(grams.cast("array<bigint>")).alias("pos", "h"))
+    grams = F.expr(f"transform(array({_WORDS}), w -> if(size(w) < {GRAM}, null, transform(sequence(0, size(w) - {GRAM}), i -> xxhash64(w[i], w[i + 1], w[i + 2]))))[0]")
+    # the outer form, as Spark would compute the array once more to leave out empty ones
+    rolling = docs.select("doc_id", text_hash().alias("__text"), F.posexplode_outer(grams).alias("pos", "h"))
     hits = rolling.join(template_grams(docs.sparkSession, templates), "h")
     key = ["doc_id", "__text", "template", "label", "length"]
     # a repeated row votes in the same places again: sets, not counts
@@ -76,16 +79,19 @@ def license_spans(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     return spans.where(good).select("doc_id", "__text", "label", "template", "first", "last", "votes", "cover")
 
 
-def phrase_places(phrases=PHRASES):
-    """Array of (at, label): where a phrase's words stand one after another in __words; in order of phrases."""
+def phrase_places(phrases=PHRASES) -> Column:
+    """struct(n: words, places: array of (at, label) where a phrase's words stand one after another) of the column text.
+    Only texts with the word that all phrases share are searched for places."""
+    shared = set.intersection(*(set(p.split()) for p, _ in phrases))
     parts = []
     for phrase, label in phrases:
         words = phrase.split()
-        same = " AND ".join(f"__words[i + {k}] = '{w}'" for k, w in enumerate(words))
-        parts.append(
-            f"transform(filter(if(size(__words) < {len(words)}, cast(array() AS array<int>), sequence(0, size(__words) - {len(words)})), i -> {same}), i -> struct(i AS at, '{label}' AS label))"
-        )
-    return F.expr(f"concat({', '.join(parts)})")
+        same = " AND ".join(f"get(w, i + {k}) <=> '{x}'" for k, x in enumerate(words))
+        parts.append(f"transform(filter(sequence(0, greatest(size(w) - {len(words)}, 0)), i -> {same}), i -> struct(i AS at, '{label}' AS label))")
+    rare = " AND ".join(f"array_contains(w, '{x}')" for x in sorted(shared)) or "true"
+    return F.expr(f"""transform(array({_WORDS}), w -> struct(
+        size(w) AS n,
+        if({rare} , concat({", ".join(parts)}), cast(array() AS array<struct<at: int, label: string>>)) AS places))[0]""")
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
@@ -95,10 +101,8 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> Data
     and no label.
     """
     spans = license_spans(docs, templates).groupBy(F.col("doc_id").alias("__id"), F.col("__text").alias("__hash")).agg(F.collect_set("label").alias("found"), F.max("cover").alias("cover"))
-    # only texts with the rarest word of any phrase are searched for phrases
-    base = with_words(docs).withColumn("n_words", F.size("__words").cast("long"))
-    base = base.withColumn("__places", F.when(F.array_contains("__words", "license"), phrase_places(phrases)).otherwise(F.expr("cast(array() AS array<struct<at: int, label: string>>)")))
-    base = base.select("doc_id", "__text", "n_words", "__places")
+    base = docs.select("doc_id", text_hash().alias("__text"), phrase_places(phrases).alias("__base"))
+    base = base.select("doc_id", "__text", F.col("__base.n").cast("long").alias("n_words"), F.col("__base.places").alias("__places"))
     joined = base.join(spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")), "left")
     own = F.array_distinct(F.col("__places.label"))
     every = F.array_distinct(F.concat(own, F.coalesce("found", F.array().cast("array<string>"))))

@@ -34,8 +34,9 @@ KEY = ["k1", "k2"]
 
 def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(k1, k2, doc_id) of docs (doc_id, text): the 128-bit hash of every line key long enough, once a document row."""
+    # the outer form, as Spark would compute the array once more to leave out empty ones
     keys = F.array_distinct(F.filter(F.transform(F.split("text", "\n", -1), lambda x: lower_ascii(F.btrim(x, F.lit(BLANKS)))), lambda x: F.length(x) >= min_chars))
-    line = with_schema(docs, "doc_id", "text").select("doc_id", F.explode(keys).alias("line"))
+    line = with_schema(docs, "doc_id", "text").select("doc_id", F.explode_outer(keys).alias("line")).where(F.col("line").isNotNull())
     return line.select(F.xxhash64("line").alias("k1"), F.xxhash64(F.concat(F.lit("\x01"), "line")).alias("k2"), "doc_id")
 
 

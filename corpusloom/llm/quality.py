@@ -23,45 +23,51 @@ SYMBOLS = "#*$%&|<>"
 MOST_STRENGTH, LEAST_STRENGTH = 1000.0, 2.0
 
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK), lambda w: w != "")
-
-
-def with_rules(docs: DataFrame, all_columns: bool = True) -> DataFrame:
-    """docs (text and any others) with __n_words, __n_repeat, __base_failed and, if asked for, the other counts.
-
-    Repeated words, within the row and without a shuffle: the text's 3-word windows are sorted by hash, so equal ones
-    are neighbours; their places are sorted, and each covers up to three words more than those before it. Null text
-    has no words.
-    """
-    w = docs.withColumn("__words", words_of(F.col("text")))
-    n = F.size("__words")
-    # (hash, place) of every window; a text of under three words has none
-    windows = F.expr("""
-      if(size(__words) < 3, cast(array() AS array<struct<h: bigint, i: int>>),
-         array_sort(transform(sequence(0, size(__words) - 3),
-                              i -> struct(xxhash64(__words[i], __words[i + 1], __words[i + 2]) AS h, i AS i))))""")
-    w = w.withColumn("__n_words", n.cast("long")).withColumn("__windows", windows)
-    repeated = F.expr("""
-      transform(filter(arrays_zip(__windows, slice(__windows, 2, greatest(size(__windows) - 1, 0))),
-                       p -> p.__windows.h = p.`1`.h),
-                p -> array(p.__windows.i, p.`1`.i))""")
-    w = w.withColumn("__places", F.sort_array(F.array_distinct(F.flatten(repeated)))).drop("__windows")
-    repeat = F.expr("""
-      aggregate(__places, struct(-3 AS last, 0L AS n),
-                (acc, i) -> struct(i AS last, acc.n + least(3, i - acc.last) AS n), acc -> acc.n)""")
-    w = w.withColumn("__n_repeat", repeat).drop("__places")
-    if all_columns:
-        text = F.coalesce(F.col("text"), F.lit(""))
-        w = w.withColumn("__word_chars", F.length(F.regexp_replace(text, BLANK, "")).cast("long"))
-        w = w.withColumn("__n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"))
-        lines = F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
-        w = w.withColumn("__lines", lines).withColumn("__n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long")).drop("__lines")
-    failed = (F.col("__n_words") < MIN_WORDS) | (100 * F.col("__n_repeat") > MAX_REPEAT_PERCENT * F.col("__n_words"))
-    return w.drop("__words").withColumn("__base_failed", failed)
-
-
-def host_verdicts(marked: DataFrame, host: str = "source", failed: str = "__base_failed", max_rate: float = MAX_HOST_RATE) -> DataFrame:
+#: Counts over the words w of a text. Everything a lambda refers to is bound by a lambda around it (a one-element array
+#: takes the place of a let), so no rewrite of the plan can make it evaluate a text's words once for each word.
+#: The 3-word windows are sorted by hash, so equal ones are neighbours; the places of repeated ones are sorted, and each
+#: covers up to three words more than those before it.
+_COUNTS = """
+transform(array({words}), w -> struct(
+  size(w) AS n,
+  if(size(w) < 4, 0, transform(
+    array(array_sort(transform(sequence(0, size(w) - 3), i -> struct(xxhash64(w[i], w[i + 1], w[i + 2]) AS h, i AS i)))),
+    s -> aggregate(
+      array_sort(array_distinct(flatten(transform(
+        filter(sequence(1, size(s) - 1), j -> s[j].h = s[j - 1].h), j -> array(s[j - 1].i, s[j].i))))),
+      struct(-3 AS last, 0 AS n),
+      (acc, i) -> struct(i AS last, acc.n + least(3, i - acc.last) AS n),
+      acc -> acc.n))[0]) AS repeated))[0]"""
+_WORDS = r"filter(split(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w != '')"
+
+
+def word_counts() -> Column:
+    """struct(n: words, repeated: words in 3-word windows found twice or more) of the column text."""
+    return F.expr(_COUNTS.format(words=_WORDS))
+
+
+def base_failed() -> Column:
+    """Whether the column text fails its own rules; null text has no words."""
+    return F.expr(f"transform(array({_COUNTS.format(words=_WORDS)}), c -> c.n < {MIN_WORDS} OR 100L * c.repeated > {MAX_REPEAT_PERCENT}L * c.n)[0]")
+
+
+def with_rules(docs: DataFrame) -> DataFrame:
+    """docs (text and any others) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
+    w = docs.withColumn("__c", word_counts()).withColumn("__lines", lines)
+    n, repeated = F.col("__c.n"), F.col("__c.repeated")
+    return w.withColumns({
+        "n_words": n.cast("long"),
+        "word_chars": F.length(F.regexp_replace(text, BLANK, "")).cast("long"),
+        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+        "n_repeat_words": repeated.cast("long"),
+        "base_failed": (n < MIN_WORDS) | (100 * repeated.cast("long") > MAX_REPEAT_PERCENT * n),
+    }).drop("__c", "__lines")
+
+
+def host_verdicts(marked: DataFrame, host: str = "source", failed: str = "base_failed", max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """(host, n, failures, rate, rejected) for each host; a null host is a host like any other.
 
     The beta prior comes from all hosts by the method of moments: its mean is the corpus's failure rate, its strength
@@ -91,24 +97,21 @@ def quality_filter(docs: DataFrame, host: str = "source", max_rate: float = MAX_
     Texts are read twice rather than shuffled: once for the hosts, once to filter. Only rejected hosts, counted first,
     are joined back.
     """
-    verdicts = host_verdicts(with_rules(docs.select("text", host), all_columns=False), host, max_rate=max_rate)
+    verdicts = host_verdicts(docs.select(host, base_failed().alias("base_failed")), host, max_rate=max_rate)
     rejected, _ = materialize(verdicts.where("rejected").select(F.col("host").alias("__host")), "rejected-hosts")
-    kept = with_rules(docs, all_columns=False).where(~F.col("__base_failed"))
+    kept = docs.where(~base_failed())
     n = rejected.count()
     if n:
         kept = kept.join(maybe_broadcast(rejected, n), F.col(host).eqNullSafe(F.col("__host")), "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Counts, base verdict and final verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    counted = with_rules(docs).select(
-        "doc_id", "source", F.col("__n_words").alias("n_words"), F.col("__word_chars").alias("word_chars"), F.col("__n_symbols").alias("n_symbols"),
-        F.col("__n_dup_lines").alias("n_dup_lines"), F.col("__n_repeat").alias("n_repeat_words"), F.col("__base_failed").alias("base_failed"),
-    )
+    counted = with_rules(docs).drop("text")
     counted, _ = materialize(counted, "quality")
-    hosts, _ = materialize(host_verdicts(counted, failed="base_failed").where("rejected").select(F.col("host").alias("__host"), "rejected"), "rejected-hosts")
+    hosts, _ = materialize(host_verdicts(counted).where("rejected").select(F.col("host").alias("__host"), "rejected"), "rejected-hosts")
     named = counted.join(maybe_broadcast(hosts, hosts.count()), F.col("source").eqNullSafe(F.col("__host")), "left")
     kept = ~F.col("base_failed") & F.col("rejected").isNull()
     return named.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))

@@ -90,7 +90,7 @@ def rule_index(urls: DataFrame, rules: list[PatternRule]) -> DataFrame:
     """(token, regex, verdict): each rule under its token that is rarest over all rows of urls (url)."""
     spark = urls.sparkSession
     wanted = spark.createDataFrame(sorted({(t,) for r in rules for t in r.tokens}), "token string")
-    seen = urls.select(F.explode(url_tokens(F.col("url"))).alias("token"))
+    seen = urls.select(F.explode_outer(url_tokens(F.col("url"))).alias("token"))
     seen = seen.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "token").groupBy("token").count()
     counts = dict(map(tuple, seen.collect()))  # no more rows than the rules have tokens
     rows = [(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), r.regex, r.verdict) for r in rules]
@@ -100,7 +100,7 @@ def rule_index(urls: DataFrame, rules: list[PatternRule]) -> DataFrame:
 def pattern_verdicts(urls: DataFrame, rules: list[PatternRule]) -> DataFrame:
     """(url, pattern_verdict) for the distinct urls that some rule matches; an allow rule outweighs a block rule."""
     index = rule_index(urls, rules)
-    tokens = urls.select("url", F.explode(url_tokens(F.col("url"))).alias("token"))
+    tokens = urls.select("url", F.explode_outer(url_tokens(F.col("url"))).alias("token"))
     candidates = tokens.join(F.broadcast(index) if len(rules) <= BROADCAST_ROWS else index, "token")
     hits = candidates.where(F.regexp_like(lower_ascii(F.col("url")), F.col("regex")))
     return hits.groupBy("url").agg(F.min("verdict").alias("pattern_verdict"))
