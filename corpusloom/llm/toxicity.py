@@ -23,11 +23,20 @@ from .words import split_words
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BUCKETS = 8, 8, 8, 4096
-#: A word gets an embedding of its own if so many documents of the sample have it.
-MIN_DOCS = 4
+#: A word gets an embedding of its own if so many documents, and this share of them, have it.
+MIN_DOCS, MIN_SHARE = 6, 0.01
 #: Labelled rows to train on at most: those with the least hash of their id.
 SAMPLE_ROWS = 3000
-EPOCHS, BATCH, RATE, WORD_DROP, DECAY = 10, 128, 0.02, 0.25, 1e-4
+EPOCHS, BATCH, RATE, WORD_DROP, DECAY = 8, 128, 0.01, 0.5, 3e-4
+#: Labels are noisy: of the texts labelled 1 at most this share, those that score lowest and under the threshold, is left
+#: out; the first score is that of the worst word alone.
+NOISE = 0.5
+#: A small sample is seen in smaller batches and more epochs, so often that at least so many steps are made.
+LEAST_BATCH, LEAST_STEPS = 32, 250
+#: Shares of the epochs after which the worst windows of the training texts are chosen anew.
+CHOOSE_AFTER = (0.25, 0.5)
+#: Weight of the corpus rate, as so many documents, in a word's log-odds.
+SMOOTHING = 2.0
 THRESHOLD = 0.3
 #: Windows computed together; distinct words that a worker keeps projected.
 SCORE_BATCH, CACHE_WORDS = 2048, 200_000
@@ -84,20 +93,36 @@ class Network:
         """Logits of windows: index (batch, time) into projected rows; mask (batch, time) is 0 behind a short text."""
         batch, time = index.shape
         h3 = 3 * HIDDEN
+        columns = np.ascontiguousarray(index.T)
         attend, weigh = np.zeros((time, batch), np.float32), np.zeros((time, batch), np.float32)
         for side, (name, order) in enumerate((("forth", range(time)), ("back", range(time - 1, -1, -1)))):
             u = self.p[name]
-            own = np.ascontiguousarray(rows[:, side * h3 : side * h3 + h3])
+            gates = np.ascontiguousarray(rows[:, side * h3 : side * h3 + 2 * HIDDEN])
+            fresh = np.ascontiguousarray(rows[:, side * h3 + 2 * HIDDEN : side * h3 + h3])
+            u_gates, u_fresh = np.ascontiguousarray(u[:, : 2 * HIDDEN]), np.ascontiguousarray(u[:, 2 * HIDDEN :])
             a, w = self.p["attend"][side * HIDDEN : (side + 1) * HIDDEN], self.p["weigh"][side * HIDDEN : (side + 1) * HIDDEN]
             aw = np.stack([a, w], axis=1)
             h = np.zeros((batch, HIDDEN), np.float32)
+            zr, n, x = (np.empty((batch, k * HIDDEN), np.float32) for k in (2, 1, 1))
             for t in order:
-                x = own[index[:, t]]
-                g = h @ u
-                zr = _sigmoid(x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
-                n = np.tanh(x[:, 2 * HIDDEN :] + zr[:, HIDDEN:] * g[:, 2 * HIDDEN :])
-                new = n + zr[:, :HIDDEN] * (h - n)
-                h = new if mask is None else np.where(mask[:, t : t + 1] > 0, new, h)
+                at = columns[t]
+                zr = gates.take(at, axis=0)
+                zr += h @ u_gates
+                zr *= 0.5
+                np.tanh(zr, out=zr)
+                zr *= 0.5
+                zr += 0.5
+                np.matmul(h, u_fresh, out=n)
+                n *= zr[:, HIDDEN:]
+                n += fresh.take(at, axis=0)
+                np.tanh(n, out=n)
+                np.subtract(h, n, out=x)
+                x *= zr[:, :HIDDEN]
+                x += n
+                if mask is None:
+                    h, x = x, h
+                else:
+                    h = np.where(mask[:, t : t + 1] > 0, x, h)
                 s = h @ aw
                 attend[t] += s[:, 0]
                 weigh[t] += s[:, 1]
@@ -149,6 +174,7 @@ def _gradients(net: Network, words: np.ndarray, grams: np.ndarray, gram_counts:
     for side, name in enumerate(("forth", "back")):
         u = p[name]
         d_u, d_state = np.zeros_like(u), np.zeros((batch, h), np.float32)
+        d_xs = np.zeros((time, batch, 3 * h), np.float32)
         for t in reversed(orders[side]):
             before, zr, n, gn = saved[side, t]
             z, r, m = zr[:, :h], zr[:, h:], mask[:, t : t + 1]
@@ -159,20 +185,32 @@ def _gradients(net: Network, words: np.ndarray, grams: np.ndarray, gram_counts:
             d_r = d_n * gn * r * (1 - r)
             d_x = np.concatenate([d_z, d_r, d_n], axis=1)
             d_g = np.concatenate([d_z, d_r, d_n * r], axis=1)
-            np.add.at(d_rows, (index[:, t], slice(side * 3 * h, (side + 1) * 3 * h)), d_x)
+            d_xs[t] = d_x
             d_u += before.T @ d_g
             d_state = d_state * (1 - m) + d_new * z + d_g @ u.T
         grad[name] = d_u
+        d_rows[:, side * 3 * h : (side + 1) * 3 * h] = _sum_by(index.T.ravel(), d_xs.reshape(-1, 3 * h), len(rows))
     grad["in_bias"] = d_rows.sum(axis=0)
     grad["in_word"], grad["in_char"] = own.T @ d_rows, chars.T @ d_rows
     d_own = (d_rows @ p["in_word"].T) * keep[:, None]
     d_chars = (d_rows @ p["in_char"].T) / gram_counts[:, None]
     grad["word"], grad["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
-    np.add.at(grad["word"], words, d_own)
-    np.add.at(grad["char"], np.where(grams < 0, 0, grams), d_chars[:, None, :] * gram_mask[:, :, None])
+    grad["word"][words[words > 0]] = d_own[words > 0]
+    at = np.flatnonzero(grams.ravel() >= 0)
+    grad["char"][:] = _sum_by(grams.ravel()[at], np.repeat(d_chars, grams.shape[1], axis=0)[at], len(p["char"]))
     return loss, grad
 
 
+def _sum_by(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Rows of values summed by index."""
+    out = np.zeros((n, values.shape[1]), np.float32)
+    if len(index):
+        order = np.argsort(index, kind="stable")
+        places, starts = np.unique(index[order], return_index=True)
+        out[places] = np.add.reduceat(values[order], starts, axis=0)
+    return out
+
+
 class _Adam:
     def __init__(self, p: dict[str, np.ndarray], rate: float):
         self.rate, self.step = rate, 0
@@ -188,18 +226,23 @@ class _Adam:
             p[k] -= (self.rate * (self.m[k] / (1 - 0.9**self.step)) / (np.sqrt(self.v[k] / (1 - 0.998**self.step)) + 1e-8)).astype(np.float32)
 
 
-def _first_windows(texts: list[list[bytes]], y: np.ndarray, docs_with: dict[bytes, int], toxic_with: dict[bytes, int]) -> list[int]:
-    """For each text the window with the largest sum of word log-odds."""
-    rate = (y.sum() + 1) / (len(y) + 2)
-    odds = {w: np.log((toxic_with.get(w, 0) + rate) / (n - toxic_with.get(w, 0) + 1 - rate)) - np.log(rate / (1 - rate)) for w, n in docs_with.items() if n >= MIN_DOCS}
-    chosen = []
-    for words in texts:
-        value = np.maximum(np.array([odds.get(w, 0.0) for w in words] or [0.0]), 0)
-        total = np.concatenate([[0], np.cumsum(value)])
+def _log_odds(docs_with: dict[bytes, int], toxic_with: dict[bytes, int], rate: float) -> dict[bytes, float]:
+    """Log-odds of label 1 by word, above those of the sample, for words in enough documents."""
+    toxic = lambda w: toxic_with.get(w, 0) + rate * SMOOTHING
+    clean = lambda w, n: n - toxic_with.get(w, 0) + (1 - rate) * SMOOTHING
+    return {w: float(np.log(toxic(w) / clean(w, n)) - np.log(rate / (1 - rate))) for w, n in docs_with.items()}
+
+
+def _first_windows(texts: list[list[bytes]], odds: dict[bytes, float]) -> tuple[list[int], np.ndarray]:
+    """For each text the window with the word of the largest log-odds, and these log-odds."""
+    chosen, most = [], np.zeros(len(texts))
+    for i, words in enumerate(texts):
+        value = np.array([odds.get(w, 0.0) for w in words] or [0.0])
         starts = windows_of(len(words))
-        ends = np.minimum(starts + WINDOW, len(value))
-        chosen.append(int(np.argmax(total[ends] - total[starts])))
-    return chosen
+        at = int(np.argmax(value))
+        most[i] = value[at]
+        chosen.append(int(np.searchsorted(starts, max(0, min(at - WINDOW // 2, starts[-1])), side="left")))
+    return chosen, most
 
 
 def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> Network:
@@ -213,10 +256,15 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
             docs_with[w] = docs_with.get(w, 0) + 1
             if label:
                 toxic_with[w] = toxic_with.get(w, 0) + 1
-    vocabulary = {w: i + 1 for i, w in enumerate(sorted(w for w, n in docs_with.items() if n >= MIN_DOCS))}
+    often = {w: n for w, n in docs_with.items() if n >= max(MIN_DOCS, MIN_SHARE * len(split))}
+    vocabulary = {w: i + 1 for i, w in enumerate(sorted(often))}
     net = Network.new(vocabulary, seed)
     if not len(split):
         return net
+    rate = float(y.sum() + 1) / (len(y) + 2)
+    odds = _log_odds(often, toxic_with, rate)
+    for w, i in vocabulary.items():
+        net.p["word"][i, 0] = odds[w] / 4
     every = sorted(docs_with)
     place = {w: i for i, w in enumerate(every)}
     ids = np.array([vocabulary.get(w, 0) for w in every], np.int64)
@@ -228,7 +276,13 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
     counts = np.array([len(g) for g in lists], np.float32)
     coded = [np.array([place[w] for w in words], np.int64) for words in split]
     r, adam = np.random.default_rng(seed), _Adam(net.p, RATE)
-    worst = _first_windows(split, y, docs_with, toxic_with)
+
+    def left_out(score: np.ndarray) -> set[int]:
+        low = np.quantile(score[y > 0], NOISE) if (y > 0).any() else 0
+        return {d for d in range(len(coded)) if y[d] and score[d] <= low and score[d] < THRESHOLD}
+
+    worst, most = _first_windows(split, odds)
+    noisy = left_out(_sigmoid(most + np.log(rate / (1 - rate))))
 
     def rows_of(doc: int, window: int) -> tuple[np.ndarray, np.ndarray]:
         start = windows_of(len(coded[doc]))[window]
@@ -237,13 +291,16 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
         index[: len(own)], mask[: len(own)] = own, 1
         return index, mask
 
+    batch_size = min(BATCH, max(LEAST_BATCH, len(coded) // 16))
+    epochs = max(epochs, -(-LEAST_STEPS * batch_size // (2 * len(coded))))
+    choose = {max(1, round(share * epochs)) for share in CHOOSE_AFTER}
     for epoch in range(epochs):
         adam.rate = RATE * (1 - 0.8 * epoch / max(1, epochs - 1))
-        picked = [(d, worst[d]) for d in range(len(coded)) if len(coded[d])]
+        picked = [(d, worst[d]) for d in range(len(coded)) if len(coded[d]) and d not in noisy]
         picked += [(d, int(r.integers(len(windows_of(len(coded[d])))))) for d in range(len(coded)) if len(coded[d]) and not y[d]]
         order = r.permutation(len(picked))
-        for at in range(0, len(order), BATCH):
-            some = [picked[i] for i in order[at : at + BATCH]]
+        for at in range(0, len(order), batch_size):
+            some = [picked[i] for i in order[at : at + batch_size]]
             pairs = [rows_of(*x) for x in some]
             index, mask = np.stack([x[0] for x in pairs]), np.stack([x[1] for x in pairs])
             distinct, inverse = np.unique(index, return_inverse=True)
@@ -255,9 +312,10 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
             if norm > 1:
                 grad = {k: g / norm for k, g in grad.items()}
             adam.update(net.p, grad)
-        if epoch + 1 < epochs:
+        if epoch + 1 in choose and epoch + 1 < epochs:
             scorer = Scorer(net)
-            worst = [int(np.argmax(scorer.windows(w))) if len(w) > WINDOW else 0 for w in split]
+            worst = scorer.worst_windows(split)
+            noisy = left_out(scorer.texts(split))
     return net
 
 
@@ -296,6 +354,15 @@ class Scorer:
 
     def texts(self, texts: list[list[bytes]]) -> np.ndarray:
         """Scores of texts as words: windows of many texts are computed together, none is left out."""
+        return _sigmoid(self._best(texts, None))
+
+    def worst_windows(self, texts: list[list[bytes]]) -> list[int]:
+        """The number of each text's window with the largest score."""
+        worst = [0] * len(texts)
+        self._best(texts, worst)
+        return worst
+
+    def _best(self, texts: list[list[bytes]], worst: list[int] | None) -> np.ndarray:
         best = np.full(len(texts), float(self.net.p["bias"][0]))
         long = [i for i, w in enumerate(texts) if len(w) >= WINDOW]
         short = [i for i, w in enumerate(texts) if 0 < len(w) < WINDOW]
@@ -307,15 +374,18 @@ class Scorer:
             for k, own in enumerate(np.split(coded, cut)):
                 index[k, : len(own)], mask[k, : len(own)] = own, 1
             best[some] = self.net.logits(self.rows, index, mask)
-        best[long] = -np.inf
         held, owners, n = [], [], 0
 
         def flush() -> None:
             nonlocal n
             if held:
                 views, who = np.concatenate(held), np.concatenate(owners)
-                for at in range(0, len(views), SCORE_BATCH):
-                    np.maximum.at(best, who[at : at + SCORE_BATCH], self.net.logits(self.rows, views[at : at + SCORE_BATCH]))
+                found = np.concatenate([self.net.logits(self.rows, views[at : at + SCORE_BATCH]) for at in range(0, len(views), SCORE_BATCH)])
+                firsts = np.concatenate([[0], np.flatnonzero(np.diff(who)) + 1])
+                best[who[firsts]] = np.maximum.reduceat(found, firsts)
+                if worst is not None:
+                    for i, own in zip(who[firsts].tolist(), np.split(found, firsts[1:])):
+                        worst[i] = int(np.argmax(own))
                 held.clear()
                 owners.clear()
                 n = 0
@@ -331,7 +401,7 @@ class Scorer:
             if n >= SCORE_BATCH:
                 flush()
         flush()
-        return _sigmoid(best)
+        return best
 
 
 def held_out(doc_id):
