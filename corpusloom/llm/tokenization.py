@@ -1,17 +1,22 @@
 """Token ids of whole texts through the tokenizers library, word by word with a bounded cache.
 
-The vocabulary's pre-tokenizer never joins characters across white space and its normalizer is local to a word,
-so the ids of a text are those of its blank-separated parts in order. Only parts not seen before reach the library.
+The vocabulary's pre-tokenizer never joins characters across white space, its normalizer is local to a word, and ASCII
+marks behind the letters of a word are a token run of their own. So the ids of a text are those of its blank-separated
+parts in order, and those of a part are its stem's and its trailing marks'. Only stems not seen before reach the library.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Cached words of one Python worker (about 250 bytes each); the cache starts anew when full.
-CACHE_WORDS = 250_000
-#: Longer parts go to the library each time.
+#: Words of one generation of a Python worker's cache (about 230 bytes each). A full generation becomes the old one,
+#: whose words move to the new one when they are met again; at most two generations are held.
+GENERATION = 400_000
+#: Longer parts are not cached.
 CACHE_CHARS = 48
+#: Words given to the library at a time.
+LIBRARY_WORDS = 2000
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -22,14 +27,27 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Words(dict):
+    """Ids by word; a word that is missing is noted and has no ids yet."""
+
+    def __init__(self):
+        super().__init__({"": b""})
+        self.missed: list[str] = []
+
+    def __missing__(self, word: str) -> bytes:
+        self.missed.append(word)
+        return b""
+
+
 class WordEncoder:
     """encode(text) gives the ids of a text as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, generation: int = GENERATION):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {"": b""}
+        self.generation = generation
+        self.new, self.old = _Words(), {}
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
@@ -39,22 +57,55 @@ class WordEncoder:
         return _encoders[path]
 
     def _library(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        """Ids of words without blanks: encoded as one text, told apart by the places their tokens come from."""
+        out = []
+        for at in range(0, len(words), LIBRARY_WORDS):
+            some = words[at : at + LIBRARY_WORDS]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            places = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.offsets))
+            data = np.array(found.ids, "<u4").tobytes()
+            cuts = (4 * np.searchsorted(places, np.cumsum([len(w) + 1 for w in some]))).tolist()
+            out += [data[i:j] for i, j in zip([0, *cuts[:-1]], cuts)]
+        return out
+
+    def _learn(self, missed: list[str]) -> dict[str, bytes]:
+        """Ids of missed words; those short enough enter the cache."""
+        new, old = self.new, self.old
+        parts: dict[str, tuple[str, str]] = {}
+        wanted: dict[str, bytes | None] = {}
+        found: dict[str, bytes] = {}
+        for word in dict.fromkeys(missed):
+            if word in old:
+                found[word] = old[word]
+                continue
+            stem = word.rstrip(MARKS)
+            if "<|" in word or stem and not stem[-1].isalnum():  # a special token; or the marks continue a run
+                stem, marks = word, ""
+            else:
+                marks = word[len(stem) :]
+                stem = stem.lower() if stem.isascii() else stem
+            parts[word] = (stem, marks)
+            for part in (stem, marks):
+                if part and part not in wanted:
+                    wanted[part] = dict.get(new, part, None) or old.get(part)
+        asked = [p for p, ids in wanted.items() if ids is None]
+        wanted.update(zip(asked, self._library(asked)))
+        wanted[""] = b""
+        for word, (stem, marks) in parts.items():
+            found[word] = wanted[stem] + wanted[marks]
+        for p in asked:
+            found.setdefault(p, wanted[p])
+        new.update((w, ids) for w, ids in found.items() if len(w) <= CACHE_CHARS)
+        if len(new) > self.generation:
+            self.old, self.new = dict(new), _Words()
+        return found
 
     def encode(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
-        cache = self.cache
-        missing = set(words).difference(cache)
-        extra = None
-        if missing:
-            if len(cache) + len(missing) > CACHE_WORDS:
-                cache.clear()
-                cache[""] = b""
-                missing = set(words).difference(cache)
-            new = list(missing)
-            found = dict(zip(new, self._library(new)))
-            extra = {w: b for w, b in found.items() if len(w) > CACHE_CHARS}
-            cache.update(found if not extra else {w: b for w, b in found.items() if len(w) <= CACHE_CHARS})
-        if extra:
-            return b"".join([extra[w] if w in extra else cache[w] for w in words])
-        return b"".join(map(cache.__getitem__, words))
+        cache = self.new
+        parts = list(map(cache.__getitem__, words))
+        if cache.missed:
+            found = self._learn(cache.missed)
+            cache.missed.clear()
+            parts = [ids or found.get(word, ids) for word, ids in zip(words, parts)]
+        return b"".join(parts)
