@@ -15,8 +15,10 @@ from .common import small_batches, strings, table, with_schema
 from .tokenization import WordEncoder, default_path
 
 SEQUENCE_TOKENS = 2048
-#: Open bins of one packing task.
-OPEN_BINS = 1024
+#: Open bins of one packing task; and pieces it takes in at a time, the longest of them first. No more pieces than bins,
+#: so that a round's long pieces never close bins which its short ones could fill.
+OPEN_BINS = 4096
+ROUND = 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -92,17 +94,34 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
 def pack(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, open_bins: int = OPEN_BINS) -> DataFrame:
     """Adds sequence_id and offset to pieces (PIECES). Only piece lengths are shuffled, never ids.
 
-    rebalance() lets Spark choose tasks by their size, so small inputs meet in one task and large ones spread; each
-    task streams its pieces in a fixed pseudo-random order through BestFit, so a repeated task repeats its result.
-    Sequence ids are unique: the task's number in the high bits.
+    rebalance() lets Spark choose tasks by their size, so small inputs meet in one task and large ones spread. Each
+    task streams its pieces in a fixed pseudo-random order through BestFit in rounds of ROUND pieces, the longest first,
+    so a repeated task repeats its result. Sequence ids are unique: the task's number in the high bits.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fit = BestFit(capacity, open_bins)
         base = TaskContext.get().partitionId() << 40
+        held, n = [], 0
+
+        def placed() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            order = np.argsort(-rows.column("length").to_numpy(), kind="stable")
+            rows = rows.take(pa.array(order)).combine_chunks().to_batches()[0]
+            at = np.array([fit.place(x) for x in rows.column("length").to_pylist()], np.int64)
+            return pa.RecordBatch.from_arrays([*rows.columns, pa.array(at[:, 0] + base), pa.array(at[:, 1])], names=[*rows.schema.names, "sequence_id", "offset"])
+
         for batch in batches:
-            placed = np.array([fit.place(n) for n in batch.column(3).to_pylist()], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(placed[:, 0] + base), pa.array(placed[:, 1])], names=[*batch.schema.names, "sequence_id", "offset"])
+            for start in range(0, batch.num_rows, ROUND):
+                part = batch.slice(start, ROUND)
+                if n + part.num_rows > ROUND:
+                    yield placed()
+                    held.clear()
+                    n = 0
+                held.append(part)
+                n += part.num_rows
+        if n:
+            yield placed()
 
     mixed = pieces.hint("rebalance", "doc_id").sortWithinPartitions(F.xxhash64("doc_id", "piece"), "doc_id", "piece", "ids_crc32", "length")
     return mixed.mapInArrow(run, PACKED)
