@@ -410,18 +410,17 @@ def shingles_char(spark, d):
     return N.with_shingles(b, "text", 5, chars=True).select("id", F.size("__shingles").alias("n"))
 
 
-_SHINGLES = "t AS (SELECT conv_id * 100 + turn AS id, role AS label, list_filter(regexp_split_to_array(replace(lower(text), 'ß', 'ss'), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS w, sha256(text) AS raw FROM conversations), s AS (SELECT id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(CAST(len(w) AS BIGINT) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM t), u AS (SELECT id, unnest(s) AS g FROM s), h AS (SELECT id, salt, min(sha256('42:' || salt || ':' || g)[1:16]) AS v FROM u, range(16) AS r(salt) GROUP BY ALL UNION ALL SELECT id, salt, repeat('0', 16) FROM s, range(16) AS r(salt) WHERE len(s) = 0)"
+_SHINGLES = "t AS (SELECT doc_id AS id, lang AS label, list_filter(regexp_split_to_array(replace(lower(text), 'ß', 'ss'), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS w, sha256(text) AS raw FROM documents), s AS (SELECT id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(CAST(len(w) AS BIGINT) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM t), u AS (SELECT id, unnest(s) AS g FROM s), h AS (SELECT id, salt, min(sha256('42:' || salt || ':' || g)[1:16]) AS v FROM u, range(16) AS r(salt) GROUP BY ALL UNION ALL SELECT id, salt, repeat('0', 16) FROM s, range(16) AS r(salt) WHERE len(s) = 0)"
 
 
-def _turns(spark, d):
-    c = table(spark, d, "conversations")
-    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("text").alias("raw_text"), F.col("text").alias("body_text"), F.col("role").alias("label"), F.col("conv_id").cast("string").alias("template_group"))
+def _texts(spark, d):
+    return mails(spark, d).select("id", "raw_text", "body_text", "label", "template_group")
 
 
 @query(f"WITH {_SHINGLES} SELECT id, string_agg(v, '' ORDER BY salt) AS signature FROM h GROUP BY id")
 def minhash_signature(spark, d):
-    """Of every conversation turn, 16 hash functions."""
-    return N.with_shingles(_turns(spark, d)).select("id", F.array_join(N.signature(F.col("__shingles"), 16), "").alias("signature"))
+    """Of every document, 16 hash functions."""
+    return N.with_shingles(_texts(spark, d)).select("id", F.array_join(N.signature(F.col("__shingles"), 16), "").alias("signature"))
 
 
 _PAIRS = "b AS (SELECT id, salt // 4 AS band, string_agg(v, '' ORDER BY salt) AS k FROM h GROUP BY ALL), p AS (SELECT DISTINCT x.id AS a, y.id AS b FROM b x JOIN b y ON x.band = y.band AND x.k = y.k AND x.id < y.id)"
@@ -429,17 +428,17 @@ _PAIRS = "b AS (SELECT id, salt // 4 AS band, string_agg(v, '' ORDER BY salt) AS
 
 @query(f"WITH {_SHINGLES}, {_PAIRS} SELECT a, b FROM p")
 def lsh_candidates(spark, d):
-    return N.lsh_candidates(N.with_shingles(_turns(spark, d)), num_perm=16, bands=4)
+    return N.lsh_candidates(N.with_shingles(_texts(spark, d)), num_perm=16, bands=4)
 
 
 @query(f"WITH {_SHINGLES}, {_PAIRS}, j AS (SELECT a, b, CASE WHEN len(x.s) + len(y.s) = 0 THEN 1.0 ELSE len(list_intersect(x.s, y.s))::DOUBLE / len(list_distinct(list_concat(x.s, y.s))) END AS jac FROM p JOIN s x ON x.id = a JOIN s y ON y.id = b) SELECT a AS sample_id_a, b AS sample_id_b, round(jac, 6) AS jaccard_similarity, x.label = y.label AS same_label, x.raw = y.raw AS exact_raw_duplicate FROM j JOIN t x ON x.id = a JOIN t y ON y.id = b WHERE jac >= 0.5")
 def near_duplicates(spark, d):
-    return rounded(N.near_duplicates(_turns(spark, d), num_perm=16, bands=4).select("sample_id_a", "sample_id_b", "jaccard_similarity", "same_label", "exact_raw_duplicate"))
+    return rounded(N.near_duplicates(_texts(spark, d), num_perm=16, bands=4).select("sample_id_a", "sample_id_b", "jaccard_similarity", "same_label", "exact_raw_duplicate"))
 
 
 @query()
 def near_dup_summary(spark, d):
-    return N.summary(N.near_duplicates(_turns(spark, d), num_perm=16, bands=4, family="xxhash64"))
+    return N.summary(N.near_duplicates(_texts(spark, d), num_perm=16, bands=4, family="xxhash64"))
 
 
 # --- contamination
