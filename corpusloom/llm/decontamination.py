@@ -26,8 +26,8 @@ MIN_WORDS = 13
 REACH = 256
 #: Share of equal words in an overlap.
 SIMILARITY = 0.8
-#: Bits of the screening filter for each test hash, and the most bits it has.
-FILTER_BITS, MOST_BITS = 32, 1 << 27
+#: Bits of the screening filter for each test hash, and the most it has; a worker holds a byte for each.
+FILTER_BITS, MOST_BITS = 32, 1 << 25
 PROBES = 3
 SPANS = "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_equal long"
 
