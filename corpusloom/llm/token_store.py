@@ -138,6 +138,17 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def _replace(fs: pafs.FileSystem, source: str, target: str) -> None:
+    """Rename; where a store does not overwrite, the file of an earlier attempt at the same task goes first."""
+    try:
+        fs.move(source, target)
+    except OSError:
+        if fs.get_file_info(target).type == pafs.FileType.NotFound:
+            raise
+        fs.delete_file(target)
+        fs.move(source, target)
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, frame_tokens: int = FRAME_TOKENS) -> DataFrame:
     """Encode docs (doc_id, text) into files under path in ascending doc_id order; returns the manifest
     (file_no, file, n_docs, n_tokens), one row a file, whose computation writes the files.
@@ -167,7 +178,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, f
         if writer is not None:
             n, tokens = writer.close()
             out.close()
-            fs.move(temporary, f"{folder}/{name}")
+            _replace(fs, temporary, f"{folder}/{name}")
             yield pa.RecordBatch.from_pylist([{"file_no": number, "file": name, "n_docs": n, "n_tokens": tokens}])
 
     ordered = with_schema(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

@@ -69,6 +69,22 @@ def test_store_against_the_library(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_store_over_many_files_keeps_the_order(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = spark.createDataFrame([(i * 7 % 101, words(5 + i % 9, i)) for i in range(101)], "doc_id long, text string").repartition(5)
+        path = scratch_path(spark, "tokens")
+        manifest = [tuple(r) for r in token_store.write_token_files(docs, path, default_path(), 2, frame_tokens=50).collect()]
+        rows = sorted(token_store.read_token_files(spark, path, manifest).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(manifest) > 2 and [r["doc_id"] for r in rows] == list(range(101))
+    start = 0
+    for r in rows:
+        assert r["start"] == start
+        start += r["n_tokens"]
+
+
 def test_store_of_an_empty_table(spark):
     path = scratch_path(spark, "tokens")
     manifest = token_store.write_token_files(empty(spark), path, default_path(), 2).collect()
