@@ -141,3 +141,21 @@ def review_flags(assigned: DataFrame, records: DataFrame, sentences: DataFrame)
     rows = rows.join(F.broadcast(sentences.select(F.col("subtopic").alias("subtopic_label"), "variant_id", "style")), ["subtopic_label", "variant_id"], "left")
     terse = F.when(F.col("style").isin("fact", "concise") & F.col("difficulty").isin("hard", "ambiguous"), "terse_in_hard")
     return rows.select("sample_id", F.concat_ws("|", terse, F.when(F.col("multi_intent"), "multi_intent")).alias("flags")).where("flags <> ''")
+
+
+def transition_examples(oof: DataFrame, scores: DataFrame, assigned: DataFrame, baseline: str, level: str, n: int = 6) -> DataFrame:
+    """Up to n contaminated samples of each cell with what happened to them: flips from right to wrong first, then by
+    how much the true class lost against the predicted one, then by sample.
+
+    scores: condition, model, contamination_level, sample_id, label, score."""
+    keys = ["condition", "model", "sample_id"]
+    cols = ["true_label", "predicted_label"]
+    side = lambda lv, s: oof.where(F.col("contamination_level") == lv).select(*keys, *[F.col(c).alias(f"{c}{s}") for c in cols])
+    hit = assigned.where(applies_at(F.lit(level), F.col("min_level"))).select("sample_id", "subtopic_label")
+    both = side(level, "").join(side(baseline, "_before"), keys).join(hit, "sample_id")
+    at = scores.where(F.col("contamination_level") == level)
+    of = lambda label, name: at.select(*keys, F.col("label").alias(label), F.col("score").alias(name))
+    scored = both.join(of("true_label", "true_score"), [*keys, "true_label"]).join(of("predicted_label", "predicted_score"), [*keys, "predicted_label"])
+    flip = ((F.col("true_label") == F.col("predicted_label_before")) & (F.col("true_label") != F.col("predicted_label"))).cast("int")
+    w = Window.partitionBy("condition", "model").orderBy(flip.desc(), (F.col("predicted_score") - F.col("true_score")).desc(), "sample_id")
+    return scored.withColumn("flipped", flip == 1).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).drop("true_label_before")

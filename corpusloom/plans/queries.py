@@ -535,6 +535,61 @@ def bootstrap_macro_f1(spark, d):
     return M.bootstrap_macro_f1(o.where("condition = 'D0'"), o.where("condition = 'D2'"), 200)
 
 
+@query(
+    f"WITH {MAILS_SQL}, {LEVELS_SQL}, {_ASSIGN}, {_TRANS}, z AS (SELECT condition, model, sample_id, subtopic_label, predicted_label, true_label, before, after, CASE WHEN true_label = predicted_label THEN 0.0 ELSE (sample_id * 17 % 101)::DOUBLE END AS gap FROM lt WHERE hit AND contamination_level = 'C30'),"
+    " y AS (SELECT *, before AND NOT after AS flipped, row_number() OVER (PARTITION BY condition, model ORDER BY (before AND NOT after) DESC, gap DESC, sample_id) AS rank FROM z) SELECT condition, model, sample_id, subtopic_label, true_label, predicted_label, flipped, CAST(rank AS INTEGER) AS rank FROM y WHERE rank <= 6"
+)
+def transition_examples(spark, d):
+    """With scores that follow from the sample's number."""
+    o = oof_by_level(spark, d)
+    labels = F.explode(F.array(*map(F.lit, LABELS))).alias("label")
+    score = F.when(F.col("label") == F.col("true_label"), 0.0).otherwise((F.col("sample_id") * 17 % 101).cast("double"))
+    scores = o.select("condition", "model", "contamination_level", "sample_id", "true_label", labels).withColumn("score", score).drop("true_label")
+    made = C.transition_examples(o, scores, _assigned(spark, d), "C0", "C30")
+    return made.select("condition", "model", "sample_id", "subtopic_label", "true_label", "predicted_label", "flipped", "rank")
+
+
+@query(f"WITH {MAILS_SQL} SELECT rule, count(*) AS n FROM (SELECT 'label is not allowed' AS rule FROM mails WHERE label NOT IN ('en', 'fr') UNION ALL SELECT 'raw_text is blank' FROM mails WHERE coalesce(trim(raw_text), '') = '' UNION ALL SELECT 'variation_id is negative' FROM mails WHERE variation_id < 0) GROUP BY 1")
+def row_validation(spark, d):
+    return A.row_violations(mails(spark, d), ["raw_text"], {"label": ("en", "fr")}, ["variation_id"]).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(DISTINCT source) = 1 AS consistent, count(DISTINCT source) AS n_values FROM documents")
+def run_consistency(spark, d):
+    """Whether all rows come from one source, as manifests from one hash."""
+    return A.one_value(table(spark, d, "documents"), "source")
+
+
+@query(f"WITH {OOF_SQL}, {METRICS_SQL}, p AS (SELECT metric, value FROM ml WHERE condition = 'D2' AND model = 'logreg' AND metric IN ('accuracy', 'macro_f1')) SELECT metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, count(*) AS n_folds FROM p GROUP BY 1")
+def external_model_summary(spark, d):
+    """One cell's fold table as that of an external model."""
+    m = M.metrics_long(oof(spark, d).where("condition = 'D2' and model = 'logreg'"))
+    wide = m.groupBy("fold_id").pivot("metric", ["accuracy", "macro_f1"]).agg(F.first("value"))
+    return rounded(M.external_summary(wide, ["accuracy", "macro_f1"]))
+
+
+@query("WITH m AS (SELECT doc_id, lang AS label, 'from=user@' || source || '-' || lang || '.org' AS f, 'sender_domain=' || source || '-' || lang || '.org' AS g, 'subject=note ' || source AS h FROM documents), l AS (SELECT label, unnest([f, g, h]) AS feature FROM m) SELECT feature, min(label) AS labels, count(*) AS count FROM l GROUP BY feature HAVING count(*) >= 2 AND count(DISTINCT label) = 1")
+def leak_header_features(spark, d):
+    """Headers written in front of every document."""
+    head = F.concat(F.lit("From: user@"), F.col("source"), F.lit("-"), F.col("lang"), F.lit(".org\nSubject: note "), F.col("source"), F.lit("\n\n"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), head.alias("raw_text"))
+    return Q.header_features(docs, 2)
+
+
+@query()
+def japanese_error_categories(spark, d):
+    m = mails(spark, d).withColumn("contains_negation", F.lit(False)).withColumnRenamed("id", "sample_id")
+    return E.overlap_counts(E.with_categories(E.misclassified(oof(spark, d), m), ja=True))
+
+
+@query()
+def source_hashes(spark, d):
+    """SHA-256 of the bytes of an input's files."""
+    from ..sources.tables import content_sha256
+
+    return content_sha256(spark, f"{d}/benchmark.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file"), "sha256")
+
+
 # --- models
 
 
