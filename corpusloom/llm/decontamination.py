@@ -20,7 +20,7 @@ from .words import WordHashes, split_words
 
 #: 1: the word counts; 0: it is ignored.
 MASKS = ("1110111", "11010001011", "11011010001")
-#: An overlap counts if it has so many words, or all words of a shorter item.
+#: An overlap counts if it has so many words, or four in five words of a shorter item.
 MIN_WORDS = 13
 #: Words kept on each side of a hit for the comparison.
 REACH = 256
@@ -142,18 +142,27 @@ def candidate_regions(docs: DataFrame, screen: np.ndarray) -> DataFrame:
 
 
 def best_overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, similarity: float = SIMILARITY) -> tuple[int, int, int]:
-    """Start in the item, words and equal words of the best stretch on a diagonal (document place - item place): the
-    one with the largest sum of 1 for an equal and -s / (1 - s) for another word, so its share of equal words is s or
-    more."""
+    """Start in the item, words and equal words of the longest stretch on a diagonal (document place - item place) with
+    this share of equal words or more, without unequal words at its ends."""
     low, high = max(0, -diagonal), min(len(item), len(doc) - diagonal)
     if high <= low:
         return 0, 0, 0
     same = doc[low + diagonal : high + diagonal] == item[low:high]
-    total = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -similarity / (1 - similarity)))])
-    gain = total - np.minimum.accumulate(total)
-    end = int(np.argmax(gain))
-    start = int(np.argmin(total[: end + 1]))
-    return low + start, end - start, int(same[start:end].sum())
+    if not same.any():
+        return 0, 0, 0
+    share = round(similarity * 1000)
+    total = np.concatenate([[0], np.cumsum(np.where(same, 1000 - share, -share))])
+    ahead = np.maximum.accumulate(total[::-1])[::-1]  # falls, and where it last is a total or more, the total itself is
+    ends = np.searchsorted(-ahead, -total, side="right") - 1
+    start = int(np.argmax(ends - np.arange(len(total))))
+    inside = np.flatnonzero(same[start : ends[start]])
+    first, last = start + int(inside[0]), start + int(inside[-1])
+    return low + first, last + 1 - first, len(inside)
+
+
+def needed_words(item_length: int, min_words: int = MIN_WORDS) -> int:
+    """Words an overlap must have: min_words, or four in five of a shorter item."""
+    return min(min_words, -(-item_length * 4 // 5))
 
 
 def contaminated_spans(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -183,7 +192,7 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, min_words: int = MIN_W
             for r in batch.to_pylist():
                 item = np.array(r["item"], np.int64)
                 at, n, equal = best_overlap(np.array(r["doc"], np.int64), item, r["diagonal"])
-                if n and n >= min(min_words, len(item)):
+                if n and n >= needed_words(len(item), min_words):
                     rows.append((r["doc_id"], r["item_id"], r["start"] + at + r["diagonal"], at, n, equal))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 6)], names=["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_equal"])
 

@@ -59,6 +59,14 @@ def test_best_overlap():
     assert decontamination.best_overlap(broken, item, 20) == (0, 40, 38)
     assert decontamination.best_overlap(doc, item, 500) == (0, 0, 0)
     assert decontamination.best_overlap(doc, item + 1000, 20)[1] == 0
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        n = int(rng.integers(1, 25))
+        same = rng.random(n) < 0.7
+        spans = [(j - i, same[i:j].sum()) for i in range(n) for j in range(i + 1, n + 1) if same[i] and same[j - 1] and same[i:j].mean() >= 0.8 - 1e-9]
+        got = decontamination.best_overlap(np.where(same, np.arange(n), -1), np.arange(n), 0)
+        assert got[1] <= max((x[0] for x in spans), default=0) and (not got[1] or got[2] >= 0.8 * got[1] - 1e-9)
+        assert got[1] >= max((x[0] for x in spans), default=0) - 2  # unequal ends that were cut
 
 
 def plain_spans(docs, items):
@@ -68,7 +76,7 @@ def plain_spans(docs, items):
         dw = hashed(split_words((t or "").encode()))
         for i, it in items:
             iw = hashed(split_words((it or "").encode()))
-            if len(iw) >= 7 and any(n and n >= min(13, len(iw)) for g in range(-len(iw), len(dw)) for _, n, _ in [decontamination.best_overlap(dw, iw, g)]):
+            if len(iw) >= 7 and any(n and n >= decontamination.needed_words(len(iw)) for g in range(-len(iw), len(dw)) for _, n, _ in [decontamination.best_overlap(dw, iw, g)]):
                 out.add((d, i))
     return out
 
