@@ -107,18 +107,18 @@ def pattern_verdicts(urls: DataFrame, rules: list[PatternRule]) -> DataFrame:
 
 
 def judge_urls(pages: DataFrame, host_rules=HOST_RULES, pattern_rules=PATTERN_RULES) -> DataFrame:
-    """pages (url and any others) with host, path, rule and verdict; these names must be free.
+    """pages (url and any others) with host, path, rule and verdict, which replace columns of these names.
 
     A host rule decides; without one, a pattern rule; without either the URL is allowed. A null url or one without
     :// has an empty host and path.
     """
     urls = pages.select("url")
-    matched, _ = materialize(pattern_verdicts(urls, [PatternRule(*r) for r in pattern_rules]).select(F.col("url").alias("__url"), "pattern_verdict"), "url-verdicts")
+    matched, _ = materialize(pattern_verdicts(urls, [PatternRule(*r) for r in pattern_rules]).select(F.col("url").alias("__url"), F.col("pattern_verdict").alias("__pattern")), "url-verdicts")
     named = pages.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     named = named.withColumn("__rule", host_rule(F.col("host"), F.col("path"), host_rules))
     joined = named.join(matched, F.col("url") == F.col("__url"), "left")
-    verdict = F.coalesce("__rule.verdict", "pattern_verdict", F.lit("allow"))
-    return joined.withColumn("rule", F.col("__rule.rule")).withColumn("verdict", verdict).drop("__rule", "__url", "pattern_verdict")
+    verdict = F.coalesce("__rule.verdict", "__pattern", F.lit("allow"))
+    return joined.withColumn("rule", F.col("__rule.rule")).withColumn("verdict", verdict).drop("__rule", "__url", "__pattern")
 
 
 def op2_url_filter(spark, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ def test_bad_hosts_take_their_documents_with_them(spark):
 
 
 def judged(spark, urls):
-    frame = spark.createDataFrame([(i, u, "extra") for i, u in enumerate(urls)], "page_id long, url string, token string")
+    frame = spark.createDataFrame([(i, u, "t", "p", "h") for i, u in enumerate(urls)], "page_id long, url string, token string, pattern_verdict string, host string")
     return [r for r in url_filter.judge_urls(frame).orderBy("page_id").collect()]
 
 
