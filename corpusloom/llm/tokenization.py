@@ -11,7 +11,7 @@ import numpy as np
 
 #: Words of one generation of a Python worker's cache (about 230 bytes each). A full generation becomes the old one,
 #: whose words move to the new one when they are met again; at most two generations are held.
-GENERATION = 400_000
+GENERATION = 700_000
 #: Longer parts are not cached.
 CACHE_CHARS = 48
 #: Words given to the library at a time.

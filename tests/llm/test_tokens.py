@@ -18,7 +18,7 @@ def library(text):
     return WordEncoder.of(default_path()).tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("generation", [5, 400_000])
+@pytest.mark.parametrize("generation", [5, 700_000])
 def test_word_by_word_ids_are_those_of_the_library(generation):
     encoder = WordEncoder(default_path(), generation)
     for text in [*ODD, *[t for t in texts() if t], *ODD]:
