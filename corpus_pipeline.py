@@ -15,7 +15,7 @@ from corpusloom.llm.decontamination import decontaminate
 from corpusloom.llm.line_dedup import dedup_lines, reference_state
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.quality import quality_filter
-from corpusloom.llm.simhash import near_duplicates
+from corpusloom.llm.shingle_dedup import similar_documents
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least doc_id."""
-    found = near_duplicates(docs)
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more): the one with the least
+    doc_id."""
+    found = similar_documents(docs)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
 
@@ -55,7 +56,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: SimHash, spaced seeds and the tokenizer have no SQL form; tests hold each stage against brute force.
+#: MinHash, spaced seeds and the tokenizer have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
