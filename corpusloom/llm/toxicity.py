@@ -1,7 +1,8 @@
 """Toxicity by a small bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A word enters as the sum of two inputs projected for each direction: the embedding of the word (if the training sample
-has it often enough) and the mean embedding of its character 3-grams. Two GRUs read a window of WINDOW words, attention
+has it often enough) and the mean embedding of its character 3-grams. A word of over PIECE characters, as texts without
+blanks have, enters as overlapping pieces, each like a word. Two GRUs read a window of WINDOW words, attention
 pools their states, and a logistic unit scores the window. All overlapping windows of a text are scored; the document
 has the score of its worst one. Windows of training documents are chosen by the model itself: the worst window of a
 document carries its label.
@@ -40,15 +41,28 @@ SMOOTHING = 2.0
 THRESHOLD = 0.3
 #: Windows computed together; distinct words that a worker keeps projected.
 SCORE_BATCH, CACHE_WORDS = 2048, 200_000
+#: Characters of a time step at most, and those that neighbouring pieces of a longer word share.
+PIECE, PIECE_OVERLAP = 64, 16
 SEED = 7
 
 
 def char_grams(word: bytes) -> list[int]:
     """Buckets of the 3-grams of a word's characters between < and >."""
-    text = "<" + word.decode("utf-8", "replace")[:64] + ">"
+    text = "<" + word.decode("utf-8", "replace") + ">"
     return [zlib.crc32(text[i : i + 3].encode()) % CHAR_BUCKETS for i in range(max(1, len(text) - 2))]
 
 
+def time_steps(text: bytes) -> list[bytes]:
+    """The words of a text; one of over PIECE characters as overlapping pieces, so that no 3-gram falls between two."""
+    out = []
+    for word in split_words(text):
+        if len(word) <= PIECE or len(letters := word.decode("utf-8", "replace")) <= PIECE:
+            out.append(word)
+        else:
+            out += [letters[i : i + PIECE].encode() for i in range(0, len(letters) - PIECE_OVERLAP, PIECE - PIECE_OVERLAP)]
+    return out
+
+
 def windows_of(n: int, window: int = WINDOW, stride: int = STRIDE) -> np.ndarray:
     """Starts of the overlapping windows that cover n words; the last ends with the text."""
     if n <= window:
@@ -247,7 +261,7 @@ def _first_windows(texts: list[list[bytes]], odds: dict[bytes, float]) -> tuple[
 
 def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> Network:
     """A network from texts (UTF-8) and labels 0 or 1. Without rows it scores every text alike."""
-    split = [split_words(t) for t in texts]
+    split = [time_steps(t) for t in texts]
     y = np.array(labels, np.float32)
     docs_with: dict[bytes, int] = {}
     toxic_with: dict[bytes, int] = {}
@@ -426,7 +440,7 @@ def score_documents(docs: DataFrame, net: Network) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            scores = scorer.texts([split_words(t) for t in utf8(batch, "text")]).astype(np.float64)
+            scores = scorer.texts([time_steps(t) for t in utf8(batch, "text")]).astype(np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["doc_id", "score"])
 
     scored = with_schema(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double")

@@ -144,6 +144,23 @@ def test_toxicity_learns_and_scores_all_windows(spark):
     assert np.allclose(together, alone, atol=1e-5)
 
 
+def test_every_character_of_a_glued_text_is_scored():
+    import random
+
+    train = labelled(400, 1)
+    net = toxicity.train([t.encode() for _, t, _ in train], [y for _, _, y in train])
+    scorer, r = toxicity.Scorer(net), random.Random(3)
+    glued = "".join(chr(0x4E00 + r.randrange(500)) for _ in range(2500))
+    for at in (70, 1200, 2490):
+        changed = glued[:at] + "\u9fa0\u9fa1\u9fa2" + glued[at + 3 :]
+        a, b = ([float(x) for x in scorer.windows(toxicity.time_steps(t.encode()))] for t in (glued, changed))
+        assert len(a) > 1 and a != b
+    for text in ("x" * 64, "x" * 65, "漢字" * 33, "a b " + glued):
+        steps = [s.decode() for s in toxicity.time_steps(text.encode())]
+        grams = {g for s in steps for g in (s[i : i + 3] for i in range(len(s) - 2))}
+        assert all(len(s) <= 64 for s in steps) and {w[i : i + 3] for w in text.split() for i in range(len(w) - 2)} <= grams
+
+
 def test_training_rows_are_never_held_out(spark):
     docs = documents(spark)
     labels = spark.createDataFrame([(i, 1, i % 2, "x") for i in range(20)] + [(3, 0, None, "x"), (None, 1, 1, "x")], "doc_id long, quality int, toxic int, text string")
