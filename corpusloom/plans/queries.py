@@ -438,7 +438,23 @@ def near_duplicates(spark, d):
 
 @query()
 def near_dup_summary(spark, d):
-    return N.summary(N.near_duplicates(_texts(spark, d), num_perm=16, bands=4, family="xxhash64"))
+    return N.summary(N.near_duplicates(_texts(spark, d), family="xxhash64"))
+
+
+@query()
+def minhash_signature_full(spark, d):
+    """With the operator's 64 hash functions; minhash_signature keeps the 16 that its SQL repeats. So do the next two."""
+    return N.with_shingles(_texts(spark, d)).select("id", F.array_join(N.signature(F.col("__shingles")), "").alias("signature"))
+
+
+@query()
+def lsh_candidates_full(spark, d):
+    return N.lsh_candidates(N.with_shingles(_texts(spark, d)))
+
+
+@query()
+def near_duplicates_full(spark, d):
+    return rounded(N.near_duplicates(_texts(spark, d)).select("sample_id_a", "sample_id_b", "jaccard_similarity", "same_label", "exact_raw_duplicate"))
 
 
 # --- contamination
