@@ -152,12 +152,13 @@ def best_overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, similarity: f
         return 0, 0, 0
     share = round(similarity * 1000)
     total = np.concatenate([[0], np.cumsum(np.where(same, 1000 - share, -share))])
-    ahead = np.maximum.accumulate(total[::-1])[::-1]  # falls, and where it last is a total or more, the total itself is
-    ends = np.searchsorted(-ahead, -total, side="right") - 1
-    start = int(np.argmax(ends - np.arange(len(total))))
-    inside = np.flatnonzero(same[start : ends[start]])
-    first, last = start + int(inside[0]), start + int(inside[-1])
-    return low + first, last + 1 - first, len(inside)
+    starts = np.flatnonzero(same)
+    ends = starts + 1
+    ahead = np.maximum.accumulate(total[ends][::-1])[::-1]  # falls, and where it last is a total or more, the total itself is
+    last = np.searchsorted(-ahead, -total[starts], side="right") - 1
+    best = int(np.argmax(ends[last] - starts))
+    start, end = int(starts[best]), int(ends[last[best]])
+    return low + start, end - start, int(same[start:end].sum())
 
 
 def needed_words(item_length: int, min_words: int = MIN_WORDS) -> int:

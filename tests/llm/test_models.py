@@ -69,6 +69,17 @@ def test_best_overlap():
         assert got[1] >= max((x[0] for x in spans), default=0) - 2  # unequal ends that were cut
 
 
+def test_overlap_is_the_longest_after_trimming():
+    for same in ([1] * 12 + [0] * 12 + [1] * 4 + [0, 1, 0] + [1] * 6, [1] * 6 + [0, 1, 0] + [1] * 4 + [0] * 12 + [1] * 12):
+        assert decontamination.best_overlap(np.where(same, np.arange(len(same)), -1), np.arange(len(same)), 0)[1:] == (13, 11)
+    rng = np.random.default_rng(10)
+    for _ in range(300):
+        n = int(rng.integers(1, 40))
+        same = rng.random(n) < 0.7
+        most = max((j - i for i in range(n) for j in range(i + 1, n + 1) if same[i] and same[j - 1] and same[i:j].sum() * 5 >= 4 * (j - i)), default=0)
+        assert decontamination.best_overlap(np.where(same, np.arange(n), -1), np.arange(n), 0)[1] == most
+
+
 def plain_spans(docs, items):
     hashed = WordHashes()
     out = set()
