@@ -548,7 +548,7 @@ def ztest_p_values(spark, d):
 @query()
 def bootstrap_macro_f1(spark, d):
     o = oof(spark, d).where("model = 'logreg'")
-    return M.bootstrap_macro_f1(o.where("condition = 'D0'"), o.where("condition = 'D2'"), 200)
+    return M.bootstrap_macro_f1(o.where("condition = 'D0'"), o.where("condition = 'D2'"), 2000)
 
 
 @query(
