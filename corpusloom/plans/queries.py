@@ -365,6 +365,14 @@ def char_ngrams(spark, d):
     return long.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("item_id").alias("df"))
 
 
+@query()
+def char_ngrams_documents(spark, d):
+    """Over the corpus, where SQL is too slow."""
+    long = table(spark, d, "documents").select("doc_id", F.explode(V.analyze(F.col("text"), "char_wb", 2, 3)).alias("term"))
+    each = long.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    return each.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("df"))
+
+
 def _centroids(spark, d):
     docs, w = _weights(spark, d)
     sizes = docs.groupBy("label").agg(F.count("*").alias("n"))
@@ -410,6 +418,17 @@ def shingles_char(spark, d):
     return N.with_shingles(b, "text", 5, chars=True).select("id", F.size("__shingles").alias("n"))
 
 
+@query()
+def shingles_word_documents(spark, d):
+    """Over the corpus, where SQL is too slow; so the next one."""
+    return N.with_shingles(table(spark, d, "documents").withColumnRenamed("doc_id", "id"), "text").select("id", F.size("__shingles").alias("n"))
+
+
+@query()
+def shingles_char_documents(spark, d):
+    return N.with_shingles(table(spark, d, "documents").withColumnRenamed("doc_id", "id"), "text", 5, chars=True).select("id", F.size("__shingles").alias("n"))
+
+
 _SHINGLES = "t AS (SELECT doc_id AS id, lang AS label, list_filter(regexp_split_to_array(replace(lower(text), 'ß', 'ss'), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS w, sha256(text) AS raw FROM documents), s AS (SELECT id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(CAST(len(w) AS BIGINT) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM t), u AS (SELECT id, unnest(s) AS g FROM s), h AS (SELECT id, salt, min(sha256('42:' || salt || ':' || g)[1:16]) AS v FROM u, range(16) AS r(salt) GROUP BY ALL UNION ALL SELECT id, salt, repeat('0', 16) FROM s, range(16) AS r(salt) WHERE len(s) = 0)"
 
 
