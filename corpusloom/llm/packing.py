@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, strings, table, with_schema
+from .common import small_batches, table, utf8, with_schema
 from .tokenization import WordEncoder, default_path
 
 SEQUENCE_TOKENS = 2048
@@ -80,8 +80,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
         step = 4 * capacity
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, text in zip(batch.column(0).to_pylist(), strings(batch, "text")):
-                data = memoryview(encoder.encode(text) + end)
+            for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch, "text")):
+                data = memoryview(np.frombuffer(encoder.encode_utf8(text), encoder.type).astype("<u4").tobytes() + end)
                 for piece, at in enumerate(range(0, len(data), step)):
                     part = data[at : at + step]
                     for column, value in zip(rows, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))):
@@ -133,4 +133,6 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
 
 
 def op9_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    """The pieces of every row of documents and their places. Null and empty texts are a piece of the end id alone, repeated
+    rows and null doc_ids have pieces of their own, equal lengths keep a fixed order, an empty table gives no row."""
     return pack_documents(table(spark, sf_dir, "documents"))

@@ -20,11 +20,14 @@ import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import drop_path, scratch_path, small_batches, strings, with_schema
+from .common import drop_path, scratch_path, small_batches, utf8, with_schema
 from .tokenization import WordEncoder, default_path
 
 FRAME_TOKENS = 16_384
+#: Bytes of text in a file, about; and those from which another file is made while the session's tasks are not all used.
+FILE_BYTES, LEAST_BYTES = 256 << 20, 16 << 20
 #: Fixed values of the zstandard seekable format.
 SEEK_SKIPPABLE = 0x184D2A5E
 SEEK_MAGIC = 0x8F92EAB1
@@ -34,7 +37,7 @@ INDEX_HEADER = struct.Struct("<IIQ")  # bytes of an id, ids of a frame, document
 
 
 class TokenFileWriter:
-    """add() documents one by one, then close(). At most one frame of ids is held."""
+    """add() documents one by one, then close(). One frame of ids is held and the index, 17 bytes a document of the file."""
 
     def __init__(self, out, width: int, frame_tokens: int = FRAME_TOKENS):
         self.out, self.width, self.frame_tokens = out, width, frame_tokens
@@ -45,11 +48,11 @@ class TokenFileWriter:
         self.nulls = bytearray()
         self.starts: list[int] = [0]
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        data = ids.astype(f"<u{self.width}").tobytes()
+    def add(self, doc_id: int | None, data: bytes) -> None:
+        """data: the document's ids, little-endian, `width` bytes each."""
         self.ids.append(0 if doc_id is None else doc_id)
         self.nulls.append(doc_id is None)
-        self.starts.append(self.starts[-1] + len(ids))
+        self.starts.append(self.starts[-1] + len(data) // self.width)
         self.held.append(data)
         self.held_bytes += len(data)
         size = self.frame_tokens * self.width
@@ -153,7 +156,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, f
     """Encode docs (doc_id, text) into files under path in ascending doc_id order; returns the manifest
     (file_no, file, n_docs, n_tokens), one row a file, whose computation writes the files.
 
-    Null text is empty, null doc_ids come first, rows with one doc_id are ordered by text. A file is written under a
+    Null text is empty, null doc_ids come first, rows with one doc_id are ordered by the text's hash, so that they can be
+    parted between files; equal rows are written each. Files have about FILE_BYTES of text. A file is written under a
     name of its own and then renamed, so repeated and speculative tasks leave one whole file.
     """
     small_batches(docs.sparkSession)
@@ -165,23 +169,28 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, f
         writer = out = None
         temporary = f"{folder}/.{name}-{uuid.uuid4().hex}"
         encoder = WordEncoder.of(tokenizer)
-        top = max(encoder.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id)
-        width = 2 if top < 1 << 16 else 4
-        end = np.array([end_id], "<u4").tobytes()
+        width = encoder.width if end_id < 1 << 16 else 4
+        end = end_id.to_bytes(width, "little")
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), strings(batch, "text")):
+            for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch, "text")):
                 if writer is None:
                     fs.create_dir(folder, recursive=True)
                     out = fs.open_output_stream(temporary)
                     writer = TokenFileWriter(out, width, frame_tokens)
-                writer.add(doc_id, np.frombuffer(encoder.encode(text) + end, "<u4"))
+                ids = encoder.encode_utf8(text)
+                writer.add(doc_id, (ids if width == encoder.width else np.frombuffer(ids, encoder.type).astype("<u4").tobytes()) + end)
         if writer is not None:
             n, tokens = writer.close()
             out.close()
             _replace(fs, temporary, f"{folder}/{name}")
             yield pa.RecordBatch.from_pylist([{"file_no": number, "file": name, "n_docs": n, "n_tokens": tokens}])
 
-    ordered = with_schema(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, -(-size // LEAST_BYTES)))
+    files = max(tasks, -(-size // FILE_BYTES))
+    keys = [F.col("doc_id"), F.xxhash64("text")]
+    ordered = with_schema(docs, "doc_id", "text").repartitionByRange(files, *keys).sortWithinPartitions(*keys, "text")
     return ordered.mapInArrow(write, "file_no long, file string, n_docs long, n_tokens long")
 
 

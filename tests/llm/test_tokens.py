@@ -21,8 +21,35 @@ def library(text):
 @pytest.mark.parametrize("generation", [5, 700_000])
 def test_word_by_word_ids_are_those_of_the_library(generation):
     encoder = WordEncoder(default_path(), generation)
+    assert encoder.by_word and encoder.type == "<u2"
     for text in [*ODD, *[t for t in texts() if t], *ODD]:
-        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library(text)
+        assert np.frombuffer(encoder.encode(text), "<u2").tolist() == library(text)
+
+
+def test_ids_of_every_character_in_every_place_are_those_of_the_library():
+    """All code points of the basic plane (and some above) behind and before letters, digits, marks and capitals."""
+    encoder, plain = WordEncoder(default_path()), WordEncoder.of(default_path()).tokenizer
+    points = [c for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000] + list(range(0x10000, 0x20000, 7))
+    for shape in ("a{0}.", "{0}. b{0}", "A{0}Z, {0}T", "1{0}'s H{0}!", "{0}{0} 'S{0}"):
+        some = [" ".join(shape.format(chr(c)) for c in points[at : at + 64]) for at in range(0, len(points), 64)]
+        for text, found in zip(some, plain.encode_batch(some, add_special_tokens=False)):
+            if np.frombuffer(encoder.encode(text), "<u2").tolist() != found.ids:
+                bad = [hex(ord(c)) for c in text if np.frombuffer(encoder.encode(shape.format(c)), "<u2").tolist() != library(shape.format(c))]
+                raise AssertionError(f"{shape}: {bad}")
+    rng = np.random.default_rng(3)
+    letters = list("abAB .,'\n\t19é\u0301\u0331ÿİßΣ<|>_क़\u0308şǰ")
+    for _ in range(3000):
+        text = "".join(rng.choice(letters, int(rng.integers(1, 40))))
+        assert np.frombuffer(encoder.encode(text), "<u2").tolist() == library(text), text
+    for text in ("İ. TARİHİ, x", "H\u0331 T\u0308.", "<|ENDOFTEXT|> <|endoftext|>A", "क़. ড়, ब"):
+        assert np.frombuffer(encoder.encode(text), "<u2").tolist() == library(text)
+
+
+def test_other_vocabularies_get_whole_texts():
+    encoder = WordEncoder(default_path("byte_bpe_50k.json"))
+    assert not encoder.by_word
+    for text in ODD:
+        assert np.frombuffer(encoder.encode(text), encoder.type).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_token_file_round_trip_and_random_access():
@@ -31,7 +58,7 @@ def test_token_file_round_trip_and_random_access():
     out = io.BytesIO()
     writer = token_store.TokenFileWriter(out, 2, frame_tokens=64)
     for doc_id, ids in docs:
-        writer.add(doc_id, ids)
+        writer.add(doc_id, ids.astype("<u2").tobytes())
     assert writer.close() == (7, 1138)
     data = out.getvalue()
 
@@ -61,23 +88,25 @@ def test_store_against_the_library(spark):
     docs = documents(spark)
     manifest = [tuple(r) for r in token_store.write_token_files(docs, path, default_path(), 2).collect()]
     got = [tuple(r) for r in token_store.read_token_files(spark, path, manifest).collect()]
-    want, start = [], 0
-    for row in sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "")):
+    start = 0
+    assert len(got) == docs.count()
+    for doc_id, at, n, _ in sorted(got, key=lambda r: r[1]):  # gapless, in ascending order
+        assert at == start
+        start += n
+    order = [r[0] for r in sorted(got, key=lambda r: r[1])]
+    assert order == sorted(order, key=lambda x: (x is not None, x or 0))
+    want = []
+    for row in docs.collect():
         ids = np.array([*library(row["text"]), 2], "<u4")
-        want.append((row["doc_id"], start, len(ids), zlib.crc32(ids.tobytes())))
-        start += len(ids)
-    assert sorted(got, key=str) == sorted(want, key=str)
+        want.append((row["doc_id"], len(ids), zlib.crc32(ids.tobytes())))
+    assert sorted([(r[0], *r[2:]) for r in got], key=str) == sorted(want, key=str)
 
 
 def test_store_over_many_files_keeps_the_order(spark):
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        docs = spark.createDataFrame([(i * 7 % 101, words(5 + i % 9, i)) for i in range(101)], "doc_id long, text string").repartition(5)
-        path = scratch_path(spark, "tokens")
-        manifest = [tuple(r) for r in token_store.write_token_files(docs, path, default_path(), 2, frame_tokens=50).collect()]
-        rows = sorted(token_store.read_token_files(spark, path, manifest).collect())
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    docs = spark.createDataFrame([(i * 7 % 101, words(5 + i % 9, i)) for i in range(101)], "doc_id long, text string").repartition(5)
+    path = scratch_path(spark, "tokens")
+    manifest = [tuple(r) for r in token_store.write_token_files(docs, path, default_path(), 2, frame_tokens=50).collect()]
+    rows = sorted(token_store.read_token_files(spark, path, manifest).collect())
     assert len(manifest) > 2 and [r["doc_id"] for r in rows] == list(range(101))
     start = 0
     for r in rows:
