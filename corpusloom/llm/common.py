@@ -77,3 +77,11 @@ def strings(batch: pa.RecordBatch, name: str) -> list[str]:
 def with_schema(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns of an input cannot clash with an operator's own."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 
 from corpusloom.llm import chat, decontamination, toxicity
-from corpusloom.llm.words import WordHashes, split_words
 
 from .cases import documents, empty, words
 
@@ -80,33 +79,105 @@ def test_overlap_is_the_longest_after_trimming():
         assert decontamination.best_overlap(np.where(same, np.arange(n), -1), np.arange(n), 0)[1] == most
 
 
-def plain_spans(docs, items):
-    hashed = WordHashes()
-    out = set()
-    for d, t in docs:
-        dw = hashed(split_words((t or "").encode()))
-        for i, it in items:
-            iw = hashed(split_words((it or "").encode()))
-            if len(iw) >= 7 and any(n and n >= decontamination.needed_words(len(iw)) for g in range(-len(iw), len(dw)) for _, n, _ in [decontamination.best_overlap(dw, iw, g)]):
-                out.add((d, i))
-    return out
+def test_short_overlap():
+    rng = np.random.default_rng(11)
+    for _ in range(500):
+        n = int(rng.integers(1, 13))
+        same = rng.random(n) < 0.7
+        most = max((j - i for i in range(n) for j in range(i + 1, n + 1) if same[i] and same[j - 1] and same[i:j].sum() >= j - i - 1), default=0)
+        at, words_, equal = decontamination.short_overlap(np.where(same, np.arange(n), -1), np.arange(n), 0)
+        assert words_ == most and equal == same[at : at + words_].sum() and (not most or same[at] and same[at + words_ - 1])
+
+
+def plain_words(text):
+    out = [""]
+    for c in text or "":
+        if "A" <= c <= "Z":
+            out[-1] += chr(ord(c) + 32)
+        elif c in "0123456789" or "a" <= c <= "z" or ord(c) > 127:
+            out[-1] += c
+        else:
+            out.append("")
+    return [w for w in out if w]
+
+
+def plain_overlap(dw, iw):
+    """(doc place, item place, words, equal words) of the overlap that counts, by all stretches of all diagonals."""
+    found, n = [], len(iw)
+    if n < 4:
+        return None
+    for g in range(-n, len(dw)):
+        own = []
+        for i in range(n):
+            for j in range(i + 1, n + 1):
+                if i + g < 0 or j + g > len(dw) or iw[i] != dw[i + g] or iw[j - 1] != dw[j - 1 + g]:
+                    continue
+                length, equal = j - i, sum(iw[k] == dw[k + g] for k in range(i, j))
+                if n >= 13:
+                    good = length >= 13 and equal * 5 >= length * 4
+                elif n >= 7:
+                    good = length >= 7 and length * 5 >= n * 4 and equal >= length - 1
+                else:
+                    good = equal == length == n
+                if good:
+                    own.append((length, -i, equal))
+        if own:
+            length, i, equal = max(own)
+            found.append((equal, length, -(g - i), i))
+    if found:
+        equal, length, place, i = max(found)
+        return (-place, -i, length, equal)
+    return None
 
 
 def test_contaminated_documents(spark):
-    items = [(1, words(30, 100)), (2, words(14, 101)), (3, words(8, 102)), (4, "too short"), (5, None), (1, words(30, 100))]
+    items = [(1, words(30, 100)), (2, words(14, 101)), (3, words(8, 102)), (4, "far too short"), (5, None), (1, words(30, 100)), (6, "one two three five"), (7, words(11, 103)), (None, words(20, 104))]
     passage = words(30, 100).split()
     touched = list(passage)
     touched[5], touched[17] = "other", "words"
-    docs = [(1, words(200, 1)), (2, words(50, 2) + " " + " ".join(passage).upper() + ". " + words(50, 3)), (3, " ".join(touched)), (4, words(20, 4) + "\n" + words(14, 101)), (5, " ".join(passage[:9])), (6, None), (7, ""), (8, words(3000, 5) + " " + words(8, 102) + " " + words(3000, 6)), (2, words(10, 7)), (9, " ".join(passage[3:20]))]
-    d = spark.createDataFrame([(*x, "e") for x in docs], "doc_id long, text string, words string")
+    eight = words(8, 102).split()
+    eight[3] = "else"
+    eleven = words(11, 103).split()
+    docs = [
+        (1, words(200, 1)), (2, words(50, 2) + " " + " ".join(passage).upper() + ". " + words(50, 3)), (3, " ".join(touched)), (4, words(20, 4) + "\n" + words(14, 101)), (5, " ".join(passage[:9])),
+        (6, None), (7, ""), (8, words(3000, 5) + " " + words(8, 102) + " " + words(3000, 6)), (2, words(10, 7)), (9, " ".join(passage[3:20])), (None, words(40, 8)), (None, " ".join(passage)), (None, None),
+        (10, "so one, two THREE five is"), (11, "one two three, and five"), (12, words(9, 9) + " " + " ".join(eight)), (13, " ".join(eleven[:5] + ["x"] + eleven[6:]) + " far too short"), (14, words(20, 104)), (3, " ".join(touched)),
+    ]
+    d = spark.createDataFrame([(*x, "e", 1, 2, 3) for x in docs], "doc_id long, text string, words string, __id int, own_hash int, found_id int")
     b = spark.createDataFrame([(*x, "e") for x in items], "item_id long, text string, doc string")
-    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated_spans(d, b).collect()}
-    assert got == plain_spans(docs, items) and {x for x, _ in got} == {2, 3, 4, 8, 9}
-    assert {r["doc_id"] for r in decontamination.decontaminate(d, b).collect()} == {1, 5, 6, 7}
+    got = [tuple(r) for r in decontamination.contaminated_spans(d, b).collect()]
+    want = {(i, j, *o) for i, t in docs for j, u in items if j is not None and (o := plain_overlap(plain_words(t), plain_words(u)))}
+    assert len(got) == len(set(got)) and set(got) == want and {x[0] for x in got} == {2, 3, 4, 8, 9, 10, 12, 13, None}
+    left = decontamination.decontaminate(d, b)
+    assert left.columns == d.columns
+    assert sorted([(r["doc_id"], r["text"]) for r in left.collect()], key=str) == sorted([x for x in docs if not any(x[0] == g[0] for g in got) or x in [(2, docs[8][1]), (None, docs[10][1]), (None, None)]], key=str)
     assert decontamination.contaminated_spans(empty(spark), b).collect() == []
     assert decontamination.contaminated_spans(d, b.limit(0)).collect() == [] and decontamination.decontaminate(d, b.limit(0)).count() == len(docs)
 
 
+def test_seeds_find_the_overlaps_that_count():
+    """Short items: every overlap with its one substitution. Longer ones: at 20 % substitutions the share found."""
+    from itertools import combinations
+
+    meets = lambda n, gone: any(all(at + i not in gone for i in decontamination._offsets[m]) for m in decontamination.masks_of(n) for at in range(n - len(decontamination._ALL[m]) + 1))
+    for n in range(4, 13):
+        for gone in combinations(range(n), 1 if n >= 7 else 0):
+            assert meets(n, gone)
+    for length in range(7, 13):  # also where only part of the item is there
+        part = decontamination.needed_words(length)
+        assert all(any(all(at + i != g for i in decontamination._offsets[3]) for at in range(part - 4)) for g in range(part))
+    rng = np.random.default_rng(5)
+    for n in (13, 15, 20, 30, 45):
+        trials = [set(rng.choice(np.arange(1, n - 1), n // 5, replace=False).tolist()) for _ in range(2000)]
+        assert np.mean([meets(n, g) for g in trials]) >= 0.9, n
+
+
+def test_one_word_many_times_is_one_row_of_a_region(spark):
+    d = spark.createDataFrame([(1, "same " * 3000)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "same " * 30)], "item_id long, text string")
+    assert [tuple(r) for r in decontamination.contaminated_spans(d, b).collect()] == [(1, 1, 0, 0, 30, 30)]
+
+
 def test_gradients():
     net = toxicity.Network.new({b"a": 1, b"bc": 2, b"d": 3}, 1)
     rng = np.random.default_rng(1)
