@@ -4,6 +4,9 @@ State of a corpus: `postings` (line key, doc_id), one row for each document that
 n_docs, keeper), the exact reference counts; `filters` (shard, cuckoo filter), which hold the keys found in min_docs
 documents or more. Insertions and deletions of documents change all three and undo each other. To clean documents,
 their lines are screened by the filters, which lets few lines through, and what passes is joined with the exact counts.
+
+Rows without a doc_id are no documents: they count nowhere and keep their lines. Rows that share one count once, and each
+loses its lines. Null and empty texts are one empty line.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, lower_ascii, materialize, small_batches, strings, table, with_schema
+from .common import drop_path, free_name, lower_ascii, materialize, small_batches, strings, table, with_schema
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -27,8 +30,11 @@ BLANKS = " \t\n\x0b\x0c\r"
 SEED = 42
 #: Keys of one shard's filter when a state is built; a shard that outgrows its filter is rebuilt from the counts.
 SHARD_KEYS = 200_000
-#: The filters are broadcast only while all of them together have fewer bytes; beyond, every line goes to the exact join.
+#: The filters are broadcast while all of them together have fewer bytes; beyond, lines are sent to their shard's filter.
 FILTER_BYTES = 32 << 20
+#: A shard's lines are dealt to so many copies of its filter; a key with more than one in HOT_SHARE of all references is
+#: none of them: these keys, fewer than HOT_SHARE, are broadcast with their counts.
+SALTS, HOT_SHARE = 8, 2000
 KEY = ["k1", "k2"]
 
 
@@ -36,7 +42,7 @@ def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(k1, k2, doc_id) of docs (doc_id, text): the 128-bit hash of every line key long enough, once a document row."""
     # the outer form, as Spark would compute the array once more to leave out empty ones
     keys = F.array_distinct(F.filter(F.transform(F.split("text", "\n", -1), lambda x: lower_ascii(F.btrim(x, F.lit(BLANKS)))), lambda x: F.length(x) >= min_chars))
-    line = with_schema(docs, "doc_id", "text").select("doc_id", F.explode_outer(keys).alias("line")).where(F.col("line").isNotNull())
+    line = with_schema(docs, "doc_id", "text").select("doc_id", F.explode_outer(keys).alias("line")).where(F.col("line").isNotNull() & F.col("doc_id").isNotNull())
     return line.select(F.xxhash64("line").alias("k1"), F.xxhash64(F.concat(F.lit("\x01"), "line")).alias("k2"), "doc_id")
 
 
@@ -100,27 +106,68 @@ def screen(lines: DataFrame, filters: dict[int, bytes], shards: int) -> DataFram
     return lines.select(*KEY, "doc_id", _shard(shards).alias("shard")).mapInArrow(run, "k1 long, k2 long, doc_id long")
 
 
-def _decisions(docs: DataFrame, refs: DataFrame, filters: DataFrame | None, shards: int, min_chars: int, min_docs: int) -> DataFrame:
+def screen_by_shard(lines: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    """As screen, for filters of any size: every line meets the filter of its shard, and no task holds more than one."""
+    schema = "shard int, salt int, filter binary, k1 long, k2 long, doc_id long"
+    salted = lines.select(_shard(shards).alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(None).cast("binary").alias("filter"), *KEY, "doc_id")
+    none = F.lit(None).cast("long")
+    copies = filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "filter", none.alias("k1"), none.alias("k2"), none.alias("doc_id"))
+    dealt = salted.to(_schema(schema)).unionByName(copies.to(_schema(schema))).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("filter").isNull())
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .cuckoo import CuckooFilter
+
+        place, own = None, None
+        for batch in batches:
+            shard, salt = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(salt) != 0)) + 1
+            for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shard)]):
+                if start == end:
+                    continue
+                part = batch.slice(start, end - start)
+                if place != (shard[start], salt[start]):
+                    place, own = (shard[start], salt[start]), None
+                if part.column(2)[0].is_valid:
+                    own, part = CuckooFilter.from_bytes(part.column(2)[0].as_py()), part.slice(1)
+                if own is not None and len(part):
+                    low, high = (part.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (3, 4))
+                    yield part.select(["k1", "k2", "doc_id"]).filter(pa.array(own.contains(low, high)))
+
+    return dealt.mapInArrow(run, "k1 long, k2 long, doc_id long")
+
+
+def _schema(ddl: str):
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(ddl)
+
+
+def _decisions(docs: DataFrame, refs: DataFrame, filters: DataFrame, shards: int, min_chars: int, min_docs: int) -> DataFrame:
     """(doc_id, drop: array of k1 and k2 in turn): the line keys that each document loses."""
     lines = lines_of(docs, min_chars)
-    if filters is not None:
-        size = filters.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0))).first()[0]
-        if size <= FILTER_BYTES:
-            lines = screen(lines, {r["shard"]: bytes(r["filter"]) for r in filters.collect()}, shards)
     held = refs.where(F.col("n_docs") >= min_docs).select(*KEY, "keeper")
-    lost = lines.join(held, KEY).where(F.col("doc_id") != F.col("keeper"))
+    size = filters.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0))).first()[0]
+    if size <= FILTER_BYTES:
+        lost = screen(lines, {r["shard"]: bytes(r["filter"]) for r in filters.collect()}, shards).join(held, KEY)
+    else:
+        total = refs.agg(F.sum("n_docs")).first()[0]
+        hot = refs.where(F.col("n_docs") > total // HOT_SHARE).where(F.col("n_docs") >= min_docs).select(*KEY, "keeper")
+        plain = screen_by_shard(lines.join(F.broadcast(hot), KEY, "left_anti"), filters, shards).join(held, KEY)
+        lost = plain.unionByName(lines.join(F.broadcast(hot), KEY))
+    lost = lost.where(F.col("doc_id") != F.col("keeper"))
     return lost.groupBy("doc_id").agg(F.flatten(F.collect_set(F.array("k1", "k2"))).alias("drop"))
 
 
 def _rewrite(docs: DataFrame, decisions: DataFrame, min_chars: int, schema: str, emit) -> DataFrame:
     """docs with their decisions through emit(doc batch, texts, rows of (lines, keep flags))."""
     small_batches(docs.sparkSession)
+    id_, drop_ = free_name(docs, "lost_id"), free_name(docs, "lost_lines")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = []
-            drops = batch.column(batch.schema.get_field_index("__drop")).to_pylist()
-            for text, drop in zip(strings(batch, "text"), drops):
+            at = batch.schema.get_field_index(drop_)
+            for text, drop in zip(strings(batch, "text"), batch.column(at).to_pylist()):
                 if not drop:
                     lines = text.split("\n")
                     done.append((lines, [True] * len(lines)))
@@ -128,10 +175,10 @@ def _rewrite(docs: DataFrame, decisions: DataFrame, min_chars: int, schema: str,
                     lost = set(zip(drop[::2], drop[1::2]))
                     lines, keys = line_keys(text, min_chars)
                     done.append((lines, [k not in lost for k in keys]))
-            yield emit(batch, done)
+            yield emit(batch.select([n for n in batch.schema.names if n != drop_]), done)
 
-    named = decisions.select(F.col("doc_id").alias("__id"), F.col("drop").alias("__drop"))
-    joined = docs.join(named, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    named = decisions.select(F.col("doc_id").alias(id_), F.col("drop").alias(drop_))
+    joined = docs.join(named, F.col("doc_id") == F.col(id_), "left").drop(id_)
     return joined.mapInArrow(run, schema)
 
 
@@ -142,8 +189,9 @@ def _kept_text(lines: list[str], keep: list[bool]) -> str:
 class LineDedup:
     """The state of a growing corpus under a folder: insert(), delete(), clean()."""
 
-    def __init__(self, spark, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int = 16):
-        self.spark, self.min_chars, self.min_docs, self.shards = spark, min_chars, min_docs, shards
+    def __init__(self, spark, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS):
+        """A shard's filter has about shard_keys keys: shards are made by count, and anew when there are twice as many."""
+        self.spark, self.min_chars, self.min_docs, self.shard_keys, self.shards = spark, min_chars, min_docs, shard_keys, 1
         self.postings = self.refs = self.filters = None
         self._paths: dict[str, str] = {}
 
@@ -162,16 +210,24 @@ class LineDedup:
         before = self.refs
         if before is None:
             self._store("refs", fresh)
-            self._store("filters", build_filters(self.refs, self.shards, self.min_docs))
+            self._rebuild()
         else:
             touched = before.join(changed, KEY, "left_semi")
             crossing, path = materialize(self._crossing(touched, fresh), "line-crossing")
             self._store("refs", before.join(changed, KEY, "left_anti").unionByName(fresh))
-            self._store("filters", self._updated(self.filters, crossing))
+            keys = self.filters.agg(F.sum("n_keys")).first()[0] or 0
+            if keys + (crossing.agg(F.sum("step")).first()[0] or 0) > 2 * self.shards * self.shard_keys:
+                self._rebuild()
+            else:
+                self._store("filters", self._updated(self.filters, crossing))
             drop_path(self.spark, path)
         for path in self._old:
             drop_path(self.spark, path)
 
+    def _rebuild(self) -> None:
+        self.shards = max(1, -(-self.refs.where(F.col("n_docs") >= self.min_docs).count() // self.shard_keys))
+        self._store("filters", build_filters(self.refs, self.shards, self.min_docs))
+
     def _crossing(self, old: DataFrame, new: DataFrame) -> DataFrame:
         """Keys that pass the threshold upwards (step 1) or downwards (step -1)."""
         at = lambda df, name: df.select(*KEY, (F.col("n_docs") >= self.min_docs).alias(name))
@@ -233,7 +289,7 @@ def reference_state(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     return refs, filters, shards, [refs_path, filters_path]
 
 
-def dedup_lines(docs: DataFrame, refs: DataFrame, filters: DataFrame | None, shards: int, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+def dedup_lines(docs: DataFrame, refs: DataFrame, filters: DataFrame, shards: int, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs (doc_id, text and any others) without the lines whose key min_docs documents hold, but in its keeper."""
     decisions = _decisions(docs, refs, filters, shards, min_chars, min_docs)
     schema = docs.schema
@@ -243,14 +299,14 @@ def dedup_lines(docs: DataFrame, refs: DataFrame, filters: DataFrame | None, sha
         was_null = batch.column(at).is_null().to_pylist()
         texts = [None if null else _kept_text(*x) for x, null in zip(done, was_null)]
         columns = [pa.array(texts, batch.schema.field(at).type) if i == at else c for i, c in enumerate(batch.columns)]
-        gone = batch.schema.get_field_index("__drop")
-        return pa.RecordBatch.from_arrays(columns[:gone] + columns[gone + 1 :], names=[n for n in batch.schema.names if n != "__drop"])
+        return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return _rewrite(docs, decisions, min_chars, schema, emit)
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """Per document of documents: n_lines, n_dropped and the digest of what stays."""
+    """Per row of documents: n_lines, n_dropped and the digest of what stays. Null and empty texts are one empty line; rows
+    without a doc_id keep all; of rows that share one each loses the same lines; an empty table gives no row."""
     docs = with_schema(table(spark, sf_dir, "documents"), "doc_id", "text")
     refs, filters, shards, _ = reference_state(docs)
     decisions = _decisions(docs, refs, filters, shards, MIN_CHARS, MIN_DOCS)
@@ -270,15 +326,15 @@ def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
 SQL = {
     "op8_line_dedup": r"""
 WITH lines AS (
-  SELECT doc_id, n, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
-  FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS n
-        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
+  SELECT r, doc_id, n, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT r, doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS n
+        FROM (SELECT r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)))),
 lost AS (
   SELECT k, max(doc_id) AS keeper FROM lines WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
 marked AS (
-  SELECT doc_id, n, line, lost.k IS NOT NULL AND doc_id <> keeper AS dropped FROM lines LEFT JOIN lost ON lines.k = lost.k)
+  SELECT r, doc_id, n, line, coalesce(doc_id <> keeper, false) AS dropped FROM lines LEFT JOIN lost ON lines.k = lost.k)
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (dropped) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT dropped), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY r, doc_id
 """
 }

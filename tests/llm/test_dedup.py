@@ -154,14 +154,58 @@ def test_insertions_and_deletions_are_reversible(spark):
     shared = [f"shared line number {i} of the corpus" for i in range(6)]
     rows = [(i, "\n".join([shared[i % 6], shared[(i + 1) % 6], words(8, i)])) for i in range(12)]
     frame = lambda some: spark.createDataFrame(some, "doc_id long, text string")
-    state = LineDedup(spark, shards=2).insert(frame(rows[:8]))
+    state = LineDedup(spark, shard_keys=3).insert(frame(rows[:8]))
     facts = lambda s: (sorted(map(tuple, s.refs.select("k1", "k2", "n_docs", "keeper").collect())), sum(r["n_keys"] for r in s.filters.collect()))
     before = facts(state)
     state.insert(frame(rows[8:]))
-    assert facts(state) == facts(LineDedup(spark, shards=2).insert(frame(rows)))
+    assert facts(state) == facts(LineDedup(spark, shard_keys=3).insert(frame(rows)))
     state.insert(frame(rows[8:]))  # known documents count once
     state.delete(frame(rows[8:]))
     assert facts(state) == before
     cleaned = {r["doc_id"]: r["text"] for r in state.clean(frame(rows[:8])).collect()}
     fresh = count_references(lines_of(frame(rows[:8])))
     assert cleaned == {r["doc_id"]: r["text"] for r in dedup_lines(frame(rows[:8]), fresh, build_filters(fresh, 2), 2).collect()}
+
+
+def test_line_dedup_as_its_sql_says_with_null_and_repeated_ids(spark, tmp_path):
+    import duckdb
+
+    from corpusloom.llm import line_dedup
+
+    line, other = "a line that three documents share", "another line that only two documents share"
+    rows = [(1, f"{line}\nx"), (2, f"y\n{line}"), (None, line), (None, f"{line}\n{other}"), (4, other), (5, f"{other}\n{line.upper()} "), (5, f"{line}\nz"), (6, None), (7, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = duckdb.sql(line_dedup.SQL["op8_line_dedup"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    got = [tuple(r) for r in op8_line_dedup(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) == len(rows)
+    assert sum(r[2] for r in got) == 2
+
+
+def test_lines_sent_to_their_shards_lose_the_same(spark, monkeypatch):
+    from corpusloom.llm import line_dedup
+
+    rows = [(d, "\n".join([f"shared line number {k} of the whole corpus" for k in range(300) if (d * 7 + k) % 5 < 3] + ["a line of all the documents that there are", f"only in document number {d}"])) for d in range(40)]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, lost_id int, Lost_Lines int")
+    refs = count_references(lines_of(docs)).cache()
+    want = plain_lines(rows)
+    for filter_bytes, hot_share in ((1 << 30, 2000), (0, 2000), (0, 20)):
+        monkeypatch.setattr(line_dedup, "FILTER_BYTES", filter_bytes)
+        monkeypatch.setattr(line_dedup, "HOT_SHARE", hot_share)
+        clean = dedup_lines(docs, refs, build_filters(refs, 16), 16)
+        assert clean.columns == docs.columns
+        assert sorted([(r["doc_id"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in clean.collect()], key=str) == sorted([(w[0], w[3]) for w in want], key=str)
+    # what passes a shard's filter: all held lines, few others
+    filters = build_filters(refs, 16)
+    passed = line_dedup.screen_by_shard(lines_of(docs), filters, 16)
+    assert passed.join(refs.where("n_docs >= 3"), ["k1", "k2"]).count() == lines_of(docs).join(refs.where("n_docs >= 3"), ["k1", "k2"]).count()
+    assert passed.join(refs.where("n_docs < 3"), ["k1", "k2"]).count() <= 4
+
+
+def test_shards_grow_with_the_keys(spark):
+    frame = lambda ids: spark.createDataFrame([(d, "\n".join(f"line number {k} of {d // 10} in the corpus" for k in range(60))) for d in ids], "doc_id long, text string")
+    state = LineDedup(spark, shard_keys=20).insert(frame(range(10)))
+    assert state.shards == 3
+    state.insert(frame(range(10, 40)))
+    assert state.shards == 12 and state.filters.count() == 12
+    whole, refs = frame(range(40)), count_references(lines_of(frame(range(40))))
+    assert {tuple(r) for r in state.clean(whole).collect()} == {tuple(r) for r in dedup_lines(whole, refs, build_filters(refs, 2), 2).collect()}
