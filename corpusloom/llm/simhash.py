@@ -139,28 +139,36 @@ def _keyed(distinct: DataFrame) -> DataFrame:
     return distinct.select("fp").mapInArrow(run, "key long, fp long")
 
 
-def group_links(fp: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Links that connect exactly what all links of at most `bits` differing bits connect: one for each fingerprint
+def differing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, each a row of unsigned 64-bit words."""
+    count = np.bitwise_count(left[..., 0] ^ right[..., 0])
+    for k in range(1, left.shape[-1]):
+        count = count + np.bitwise_count(left[..., k] ^ right[..., k])
+    return count
+
+
+def group_links(nodes: np.ndarray, fp: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """Links between nodes that connect exactly what all links of at most `bits` differing bits connect: one for each node
     reached. A search in breadth; what was reached is compared with the rest only, so a dense group costs little."""
-    left = fp.view(np.uint64)
-    links = []
+    left, links = np.arange(len(nodes)), []
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             centre = queue.pop()
-            near = np.bitwise_count(left ^ centre) <= bits
+            near = differing(fp[left], fp[centre]) <= bits
             if near.any():
                 reached = left[near]
-                links += [(centre, x) for x in reached]
+                links += [(nodes[centre], nodes[x]) for x in reached]
                 queue += list(reached)
                 left = left[~near]
     return links
 
 
 def _link_runs(bits: int):
-    """mapInArrow function over rows (key, lo, hi, fp) sorted by key, lo, hi: links of each run."""
+    """mapInArrow function over rows (key, lo, hi, node and, if it is not the node, the fingerprint's words) sorted by key,
+    lo, hi: links of each run."""
 
-    def links_of(keys: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    def links_of(keys: np.ndarray, nodes: np.ndarray, fp: np.ndarray) -> np.ndarray:
         """keys: the runs' numbers, ascending."""
         cuts = np.flatnonzero(np.diff(keys)) + 1
         starts = np.concatenate([[0], cuts])
@@ -169,17 +177,17 @@ def _link_runs(bits: int):
         small = np.repeat(sizes <= 3, sizes)
         for lag in (1, 2):
             at = np.flatnonzero((keys[lag:] == keys[:-lag]) & small[lag:])
-            near = np.bitwise_count(fp[at].view(np.uint64) ^ fp[at + lag].view(np.uint64)) <= bits
-            found.append(np.stack([fp[at][near], fp[at + lag][near]], axis=1))
+            at = at[differing(fp[at], fp[at + lag]) <= bits]
+            found.append(np.stack([nodes[at], nodes[at + lag]], axis=1))
         for s, n in zip(starts[sizes > 3].tolist(), sizes[sizes > 3].tolist()):
-            if more := group_links(fp[s : s + n], bits):
-                found.append(np.array(more, np.uint64).view(np.int64).reshape(-1, 2))
+            if more := group_links(nodes[s : s + n], fp[s : s + n], bits):
+                found.append(np.array(more, np.int64).reshape(-1, 2))
         return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # the run that is not over yet
         for batch in batches:
-            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)], axis=1)
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
             if not len(rows):
                 continue
             changes = np.flatnonzero((np.diff(rows[:, :3], axis=0) != 0).any(axis=1)) + 1
@@ -199,38 +207,45 @@ def _link_runs(bits: int):
     def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(rows) > 1:
             number = np.concatenate([[0], np.cumsum((np.diff(rows[:, :3], axis=0) != 0).any(axis=1))])
-            links = np.unique(np.sort(links_of(number, np.ascontiguousarray(rows[:, 3])), axis=1), axis=0)
+            fp = np.ascontiguousarray(rows[:, 4:] if rows.shape[1] > 4 else rows[:, 3:]).view(np.uint64)
+            links = np.unique(np.sort(links_of(number, np.ascontiguousarray(rows[:, 3]), fp), axis=1), axis=0)
             if len(links):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(links[:, 0])), pa.array(np.ascontiguousarray(links[:, 1]))], names=["u", "v"])
 
     return run
 
 
-def golay_links(distinct: DataFrame, bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
-    """Links (u, v) between distinct fingerprints (fp) whose components are those of all links of at most `bits`
-    (4 or fewer) differing bits.
+def linked(keyed: DataFrame, bits: int, block: int = BLOCK) -> DataFrame:
+    """Links (u, v) between nodes that share a key and differ in at most `bits` bits, or others that connect the same.
+    keyed: key, node and, if it is not the node itself, the fingerprint's 64-bit words.
 
-    A key with more than `block` fingerprints is dealt out as pairs of blocks, each a task of two blocks at most; so no
-    task holds an unbounded group, and every pair still meets.
+    A key with more than `block` nodes is dealt out as pairs of blocks, each a task of two blocks at most; so no task
+    holds an unbounded group, and every pair still meets.
     """
-    if not 0 <= bits <= MAX_BITS:
-        raise ValueError(f"the keys find at most {MAX_BITS} differing bits")
-    hot, hot_path = materialize(_keyed(distinct).groupBy("key").count().where(F.col("count") > block), "hot-keys")
+    node, *fp = keyed.columns[1:]
+    hot, hot_path = materialize(keyed.groupBy("key").count().where(F.col("count") > block), "hot-keys")
     n_hot = hot.count()
-    keyed = _keyed(distinct)
     if n_hot:
         keyed = keyed.join(maybe_broadcast(hot.select("key", F.ceil(F.col("count") / block).alias("blocks")), n_hot), "key", "left")
-        own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+        own = F.pmod(F.xxhash64(node), F.col("blocks"))
         pairs = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi")))).otherwise(
             F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("lo"), F.greatest(own, j).alias("hi")))
         )
-        keyed = keyed.select("key", "fp", F.explode(pairs).alias("p")).select("key", "p.lo", "p.hi", "fp")
+        keyed = keyed.select("key", node, *fp, F.explode(pairs).alias("p")).select("key", "p.lo", "p.hi", node, *fp)
     else:
-        drop_path(distinct.sparkSession, hot_path)
+        drop_path(keyed.sparkSession, hot_path)
         zero = F.lit(0).cast("long")
-        keyed = keyed.select("key", zero.alias("lo"), zero.alias("hi"), "fp")
+        keyed = keyed.select("key", zero.alias("lo"), zero.alias("hi"), node, *fp)
     by = ["key"] if not n_hot else ["key", "lo", "hi"]
-    return keyed.repartition(*by).sortWithinPartitions("key", "lo", "hi", "fp").mapInArrow(_link_runs(bits), EDGES).distinct()
+    return keyed.repartition(*by).sortWithinPartitions("key", "lo", "hi", node).mapInArrow(_link_runs(bits), EDGES).distinct()
+
+
+def golay_links(distinct: DataFrame, bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+    """Links (u, v) between distinct fingerprints (fp) whose components are those of all links of at most `bits`
+    (4 or fewer) differing bits."""
+    if not 0 <= bits <= MAX_BITS:
+        raise ValueError(f"the keys find at most {MAX_BITS} differing bits")
+    return linked(_keyed(distinct), bits, block)
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
@@ -254,6 +269,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, bits: int = MAX_BITS)
 
 
 def op3_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of every row of documents; see near_duplicates for nulls, blanks and repeats."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
