@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, materialize, table
+from .common import free_name, maybe_broadcast, materialize, table
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -55,16 +55,17 @@ def with_rules(docs: DataFrame) -> DataFrame:
     """docs (text and any others) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
-    w = docs.withColumn("__c", word_counts()).withColumn("__lines", lines)
-    n, repeated = F.col("__c.n"), F.col("__c.repeated")
+    c_, lines_ = free_name(docs, "counts"), free_name(docs, "lines")
+    w = docs.withColumn(c_, word_counts()).withColumn(lines_, lines)
+    n, repeated = F.col(f"{c_}.n"), F.col(f"{c_}.repeated")
     return w.withColumns({
         "n_words": n.cast("long"),
         "word_chars": F.length(F.regexp_replace(text, BLANK, "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+        "n_dup_lines": (F.size(lines_) - F.size(F.array_distinct(lines_))).cast("long"),
         "n_repeat_words": repeated.cast("long"),
         "base_failed": (n < MIN_WORDS) | (100 * repeated.cast("long") > MAX_REPEAT_PERCENT * n),
-    }).drop("__c", "__lines")
+    }).drop(c_, lines_)
 
 
 def host_verdicts(marked: DataFrame, host: str = "source", failed: str = "base_failed", max_rate: float = MAX_HOST_RATE) -> DataFrame:
@@ -94,25 +95,27 @@ def host_verdicts(marked: DataFrame, host: str = "source", failed: str = "base_f
 def quality_filter(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """The documents that neither their own rules nor their host's verdict reject, with docs's columns.
 
-    Texts are read twice rather than shuffled: once for the hosts, once to filter. Only rejected hosts, counted first,
-    are joined back.
+    Every text is judged once: documents and verdicts are written to the shared folder, hosts are counted there, and only
+    rejected hosts, counted first, are joined back.
     """
-    verdicts = host_verdicts(docs.select(host, base_failed().alias("base_failed")), host, max_rate=max_rate)
-    rejected, _ = materialize(verdicts.where("rejected").select(F.col("host").alias("__host")), "rejected-hosts")
-    kept = docs.where(~base_failed())
+    failed, host_ = free_name(docs, "failed"), free_name(docs, "rejected_host")
+    marked, _ = materialize(docs.withColumn(failed, base_failed()), "judged")
+    rejected, _ = materialize(host_verdicts(marked, host, failed, max_rate).where("rejected").select(F.col("host").alias(host_)), "rejected-hosts")
+    kept = marked.where(~F.col(failed)).drop(failed)
     n = rejected.count()
     if n:
-        kept = kept.join(maybe_broadcast(rejected, n), F.col(host).eqNullSafe(F.col("__host")), "left_anti")
+        kept = kept.join(maybe_broadcast(rejected, n), F.col(host).eqNullSafe(F.col(host_)), "left_anti")
     return kept
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
-    """Counts, base verdict and final verdict of every document."""
+    """Counts, base verdict and final verdict of every row of documents, repeated ones each. Null, empty and blank texts have no
+    words and fail; a null source is a host like any other; an empty table gives no row."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     counted = with_rules(docs).drop("text")
     counted, _ = materialize(counted, "quality")
-    hosts, _ = materialize(host_verdicts(counted).where("rejected").select(F.col("host").alias("__host"), "rejected"), "rejected-hosts")
-    named = counted.join(maybe_broadcast(hosts, hosts.count()), F.col("source").eqNullSafe(F.col("__host")), "left")
+    hosts, _ = materialize(host_verdicts(counted).where("rejected").select(F.col("host").alias("rejected_host"), "rejected"), "rejected-hosts")
+    named = counted.join(maybe_broadcast(hosts, hosts.count()), F.col("source").eqNullSafe(F.col("rejected_host")), "left")
     kept = ~F.col("base_failed") & F.col("rejected").isNull()
     return named.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
 

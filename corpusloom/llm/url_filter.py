@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, lower_ascii, materialize, table
+from .common import free_name, BROADCAST_ROWS, lower_ascii, materialize, table
 
 #: Rules (host and path, verdict) of the query.
 HOST_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -31,6 +31,8 @@ PATTERN_RULES = (
     ("/adserver/policy.html", "allow"),
 )
 _TOKEN = "[^a-z0-9]+"
+#: So many host rules are one expression; more are joined.
+EXPRESSION_RULES = 64
 
 
 @dataclass(frozen=True)
@@ -47,7 +49,8 @@ class PatternRule:
 
     @property
     def tokens(self) -> list[str]:
-        """Literal runs that are whole tokens of any URL matched: a separator or a literal edge stands on both sides."""
+        """Literal runs that are whole tokens of any URL matched: a separator or a literal edge stands on both sides. A rule
+        without any is compared with every URL."""
         whole = self.pattern.startswith("||")
         body = self.pattern[2:] if whole else self.pattern
         found = []
@@ -56,8 +59,6 @@ class PatternRule:
             right = m.end() < len(body) and body[m.end()] != "*"
             if left and right:
                 found.append(m[0])
-        if not found:
-            raise ValueError(f"no literal token in {self.pattern!r}")
         return found
 
 
@@ -93,7 +94,7 @@ def rule_index(urls: DataFrame, rules: list[PatternRule]) -> DataFrame:
     seen = urls.select(F.explode_outer(url_tokens(F.col("url"))).alias("token"))
     seen = seen.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "token").groupBy("token").count()
     counts = dict(map(tuple, seen.collect()))  # no more rows than the rules have tokens
-    rows = [(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), r.regex, r.verdict) for r in rules]
+    rows = [(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), r.regex, r.verdict) for r in rules if r.tokens]
     return spark.createDataFrame(rows, "token string, regex string, verdict string")
 
 
@@ -103,9 +104,26 @@ def pattern_verdicts(urls: DataFrame, rules: list[PatternRule]) -> DataFrame:
     tokens = urls.select("url", F.explode_outer(url_tokens(F.col("url"))).alias("token"))
     candidates = tokens.join(F.broadcast(index) if len(rules) <= BROADCAST_ROWS else index, "token")
     hits = candidates.where(F.regexp_like(lower_ascii(F.col("url")), F.col("regex")))
+    hits = hits.select("url", "verdict")
+    if loose := [r for r in rules if not r.tokens]:
+        found = F.array(*[F.when(F.regexp_like(lower_ascii(F.col("url")), F.lit(r.regex)), F.lit(r.verdict)) for r in loose])
+        hits = hits.unionByName(urls.select("url", F.array_min(found).alias("verdict")).where("verdict IS NOT NULL"))
     return hits.groupBy("url").agg(F.min("verdict").alias("pattern_verdict"))
 
 
+def hosts_rules(urls: DataFrame, rules) -> DataFrame:
+    """(url, rule, rule_verdict) for the distinct urls that one of many host rules fits: each host's own name and parent
+    domains are joined with the rules, and the longest rule wins."""
+    spark = urls.sparkSession
+    table_ = spark.createDataFrame([(r.partition("/")[0], "/" + r.partition("/")[2], r, v) for r, v in dict(rules).items()], "name string, start string, rule string, rule_verdict string")
+    labels = F.split("host", r"\.")
+    names = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.array_join(F.slice("labels", i, F.size("labels")), "."))
+    named = urls.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("labels", labels).select("url", "path", F.explode(names).alias("name"))
+    fits = named.join(F.broadcast(table_) if len(rules) <= BROADCAST_ROWS else table_, "name").where(F.col("path").startswith(F.col("start")))
+    best = F.max_by(F.struct("rule", "rule_verdict"), F.struct(F.length("rule"), "rule"))
+    return fits.groupBy("url").agg(best.alias("x")).select("url", "x.*")
+
+
 def judge_urls(pages: DataFrame, host_rules=HOST_RULES, pattern_rules=PATTERN_RULES) -> DataFrame:
     """pages (url and any others) with host, path, rule and verdict, which replace columns of these names.
 
@@ -113,15 +131,22 @@ def judge_urls(pages: DataFrame, host_rules=HOST_RULES, pattern_rules=PATTERN_RU
     :// has an empty host and path.
     """
     urls = pages.select("url")
-    matched, _ = materialize(pattern_verdicts(urls, [PatternRule(*r) for r in pattern_rules]).select(F.col("url").alias("__url"), F.col("pattern_verdict").alias("__pattern")), "url-verdicts")
+    own = [free_name(pages, n) for n in ("matched_url", "pattern_verdict", "host_rule", "ruled_url")]
+    url_, pattern_, rule_, ruled_ = own
+    matched, _ = materialize(pattern_verdicts(urls, [PatternRule(*r) for r in pattern_rules]).select(F.col("url").alias(url_), F.col("pattern_verdict").alias(pattern_)), "url-verdicts")
     named = pages.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    named = named.withColumn("__rule", host_rule(F.col("host"), F.col("path"), host_rules))
-    joined = named.join(matched, F.col("url") == F.col("__url"), "left")
-    verdict = F.coalesce("__rule.verdict", "__pattern", F.lit("allow"))
-    return joined.withColumn("rule", F.col("__rule.rule")).withColumn("verdict", verdict).drop("__rule", "__url", "__pattern")
+    if len(host_rules) <= EXPRESSION_RULES:
+        named = named.withColumn(rule_, host_rule(F.col("host"), F.col("path"), host_rules))
+    else:
+        ruled, _ = materialize(hosts_rules(urls, host_rules).select(F.col("url").alias(ruled_), F.struct("rule", F.col("rule_verdict").alias("verdict")).alias(rule_)), "url-rules")
+        named = named.join(ruled, F.col("url") == F.col(ruled_), "left")
+    joined = named.join(matched, F.col("url") == F.col(url_), "left")
+    verdict = F.coalesce(f"{rule_}.verdict", pattern_, F.lit("allow"))
+    return joined.withColumn("rule", F.col(f"{rule_}.rule")).withColumn("verdict", verdict).drop(*own)
 
 
 def op2_url_filter(spark, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict of every row of pages; null urls are allowed, with empty host and path."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 

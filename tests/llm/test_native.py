@@ -102,3 +102,25 @@ def test_near_license_texts_are_found(spark):
         doc = words(40, 3) + " " + " ".join(w) + " " + words(40, 4)
         found = license_scan.scan_licenses(spark.createDataFrame([(1, doc)], "doc_id long, text string")).first()
         assert label in found["labels"].split(",")
+
+
+def test_many_host_rules_are_joined_and_rules_without_tokens_are_matched(spark, monkeypatch):
+    rules = [(f"{h}/{p}", v) for h, p, v in (("net", "", "block"), ("example.net", "en/", "allow"), ("example.com", "de/", "block"), ("org", "fr/", "allow"), ("a.example.net", "en/x", "block"))]
+    urls = [None, "", "no scheme", "http://x.NET/", "https://a.b.example.net/en/1?q", "https://a.example.net/en/xy", "ftp://example.com/de/", "ftp://example.com/en/", "http://org/fr/a", "http://notnet/", "http://net", "s://deep.org/fr/", "http://z.de/zzz~1", "http://z.de/zz!"]
+    frame = spark.createDataFrame([(i, u, 1, 2, 3, 4, 5) for i, u in enumerate(urls)], "page_id int, url string, host_rule int, __rule int, __url int, matched_url int, pattern_verdict int")
+    patterns = (("*zzz*", "block"), ("~", "allow"), ("||casino^", "block"))
+    answers = []
+    for limit in (64, 0):
+        monkeypatch.setattr(url_filter, "EXPRESSION_RULES", limit)
+        got = url_filter.judge_urls(frame, rules, patterns)
+        assert set(frame.columns) <= set(got.columns)
+        answers.append({r["page_id"]: (r["rule"], r["verdict"]) for r in got.collect()})
+    assert answers[0] == answers[1]
+    assert [answers[0][i] for i in range(3, 14)] == [("net/", "block"), ("example.net/en/", "allow"), ("a.example.net/en/x", "block"), ("example.com/de/", "block"), (None, "allow"), ("org/fr/", "allow"), (None, "allow"), (None, "allow"), ("org/fr/", "allow"), (None, "allow"), (None, "allow")]
+    assert url_filter.judge_urls(frame, [], (("*zzz*", "block"),)).where("page_id = 12").first()["verdict"] == "block"
+
+
+def test_rules_leave_columns_of_like_names(spark):
+    docs = spark.createDataFrame([(1, words(60, 1), "s", 5, 6, 7, 8)], "doc_id long, text string, source string, __c int, counts int, failed int, rejected_host int")
+    assert set(docs.columns) <= set(quality.with_rules(docs).columns)
+    assert [tuple(r) for r in quality.quality_filter(docs).collect()] == [tuple(r) for r in docs.collect()]
