@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import materialize, maybe_broadcast, small_batches, utf8
+from .common import drop_path, materialize, maybe_broadcast, small_batches, utf8
 from .components import components
 from .simhash import EDGES, GOLAY, differing, linked
 from .words import WordHashes
@@ -192,18 +192,20 @@ def _grouped(docs: DataFrame, block: int, block_bytes: int) -> tuple[DataFrame,
     """The rows of _shingled and (set_id, root): sets of one root are connected by similar pairs."""
     spark = docs.sparkSession
     marked, _ = materialize(_shingled(docs), "shingled")
-    sets, _ = materialize(marked.groupBy("set_id").agg(F.first("f1").alias("f1"), F.first("f2").alias("f2"), F.first("keys").alias("keys")), "shingle-sets")
+    sets, sets_path = materialize(marked.groupBy("set_id").agg(F.first("f1").alias("f1"), F.first("f2").alias("f2"), F.first("keys").alias("keys")), "shingle-sets")
     small = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     nodes, _ = components(linked(sets.select(F.explode("keys").alias("key"), "set_id", "f1", "f2"), MOST_BITS))
+    drop_path(spark, sets_path)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", small)
     members, _ = materialize(nodes.select(F.col("node").alias("set_id"), F.col("root").alias("cluster")).unionByName(nodes.select(F.col("root").alias("set_id"), F.col("root").alias("cluster")).distinct()), "clusters")
     found = marked.select("set_id", "f1", "f2", F.col("doc.text").alias("text")).join(maybe_broadcast(members, members.count()), "set_id")
     one = found.groupBy("cluster", "set_id").agg(F.first("f1").alias("f1"), F.first("f2").alias("f2"), F.first("text").alias("text"))
-    clustered, _ = materialize(one, "clustered")
+    clustered, clustered_path = materialize(one, "clustered")
     dealt = _dealt(clustered, block, block_bytes).repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "set_id")
     roots, _ = components(dealt.mapInArrow(_verify, EDGES).distinct())
-    rooted, _ = materialize(sets.select("set_id").join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", F.coalesce("root", "set_id").alias("root")), "rooted")
+    drop_path(spark, clustered_path)
+    rooted, _ = materialize(marked.select("set_id").distinct().join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", F.coalesce("root", "set_id").alias("root")), "rooted")
     return marked, rooted
 
 

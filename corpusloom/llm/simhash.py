@@ -34,6 +34,7 @@ SEED = 42
 GOLAY = 0xC75
 #: Fingerprints with one key that a task compares at most; larger groups are dealt out as pairs of blocks.
 BLOCK = 20_000
+SKEW_SAMPLE = 16
 #: Shingles hashed at a time.
 CHUNK = 1 << 16
 EDGES = "u long, v long"
@@ -148,8 +149,8 @@ def differing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def group_links(nodes: np.ndarray, fp: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Links between nodes that connect exactly what all links of at most `bits` differing bits connect: one for each node
-    reached. A search in breadth; what was reached is compared with the rest only, so a dense group costs little."""
+    """Links (node, centre it is reached from) that connect exactly what all links of at most `bits` differing bits connect:
+    one for each node reached. A search in breadth; what was reached is compared with the rest only, so a dense group costs little."""
     left, links = np.arange(len(nodes)), []
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
@@ -158,7 +159,7 @@ def group_links(nodes: np.ndarray, fp: np.ndarray, bits: int) -> list[tuple[int,
             near = differing(fp[left], fp[centre]) <= bits
             if near.any():
                 reached = left[near]
-                links += [(nodes[centre], nodes[x]) for x in reached]
+                links += [(nodes[x], nodes[centre]) for x in reached]
                 queue += list(reached)
                 left = left[~near]
     return links
@@ -178,7 +179,7 @@ def _link_runs(bits: int):
         for lag in (1, 2):
             at = np.flatnonzero((keys[lag:] == keys[:-lag]) & small[lag:])
             at = at[differing(fp[at], fp[at + lag]) <= bits]
-            found.append(np.stack([nodes[at], nodes[at + lag]], axis=1))
+            found.append(np.stack([nodes[at + lag], nodes[at]], axis=1))
         for s, n in zip(starts[sizes > 3].tolist(), sizes[sizes > 3].tolist()):
             if more := group_links(nodes[s : s + n], fp[s : s + n], bits):
                 found.append(np.array(more, np.int64).reshape(-1, 2))
@@ -208,22 +209,39 @@ def _link_runs(bits: int):
         if len(rows) > 1:
             number = np.concatenate([[0], np.cumsum((np.diff(rows[:, :3], axis=0) != 0).any(axis=1))])
             fp = np.ascontiguousarray(rows[:, 4:] if rows.shape[1] > 4 else rows[:, 3:]).view(np.uint64)
-            links = np.unique(np.sort(links_of(number, np.ascontiguousarray(rows[:, 3]), fp), axis=1), axis=0)
+            links = np.unique(links_of(number, np.ascontiguousarray(rows[:, 3]), fp), axis=0)
             if len(links):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(links[:, 0])), pa.array(np.ascontiguousarray(links[:, 1]))], names=["u", "v"])
 
     return run
 
 
+def _stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (u, v: the centres it is reached from, ascending) to links of u with the first of them, and of the first with the
+    others: they connect the same, and the same few centres meet again and again."""
+    for batch in batches:
+        centres = batch.column(1)
+        flat, ends = centres.flatten().to_numpy(zero_copy_only=False), np.cumsum(centres.value_lengths().to_numpy(zero_copy_only=False))
+        sizes = np.diff(ends, prepend=0)
+        if len(sizes):
+            first = flat[ends - sizes]
+            between = np.unique(np.stack([flat, np.repeat(first, sizes)], axis=1), axis=0)
+            links = np.concatenate([np.stack([batch.column(0).to_numpy(zero_copy_only=False), first], axis=1), between[between[:, 0] != between[:, 1]]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(links[:, 0])), pa.array(np.ascontiguousarray(links[:, 1]))], names=["u", "v"])
+
+
 def linked(keyed: DataFrame, bits: int, block: int = BLOCK) -> DataFrame:
     """Links (u, v) between nodes that share a key and differ in at most `bits` bits, or others that connect the same.
     keyed: key, node and, if it is not the node itself, the fingerprint's 64-bit words.
 
     A key with more than `block` nodes is dealt out as pairs of blocks, each a task of two blocks at most; so no task
-    holds an unbounded group, and every pair still meets.
+    holds an unbounded group, and every pair still meets. Which keys are large is told by one node in SKEW_SAMPLE, which
+    decides about the dealing only. A node is reached once for each of its keys, so its list of centres is bounded.
     """
     node, *fp = keyed.columns[1:]
-    hot, hot_path = materialize(keyed.groupBy("key").count().where(F.col("count") > block), "hot-keys")
+    rate = SKEW_SAMPLE if block >= BLOCK else 1
+    counted = keyed.where(F.pmod(F.xxhash64(node), F.lit(rate)) == 0).groupBy("key").agg((rate * F.count("*")).alias("count"))
+    hot, hot_path = materialize(counted.where(F.col("count") > (block if rate == 1 else block // 2)), "hot-keys")
     n_hot = hot.count()
     if n_hot:
         keyed = keyed.join(maybe_broadcast(hot.select("key", F.ceil(F.col("count") / block).alias("blocks")), n_hot), "key", "left")
@@ -237,7 +255,7 @@ def linked(keyed: DataFrame, bits: int, block: int = BLOCK) -> DataFrame:
         zero = F.lit(0).cast("long")
         keyed = keyed.select("key", zero.alias("lo"), zero.alias("hi"), node, *fp)
     by = ["key"] if not n_hot else ["key", "lo", "hi"]
-    return keyed.repartition(*by).sortWithinPartitions("key", "lo", "hi", node).mapInArrow(_link_runs(bits), EDGES).distinct()
+    return keyed.repartition(*by).sortWithinPartitions("key", "lo", "hi", node).mapInArrow(_link_runs(bits), EDGES).groupBy("u").agg(F.array_sort(F.collect_set("v")).alias("v")).mapInArrow(_stars, EDGES).distinct()
 
 
 def golay_links(distinct: DataFrame, bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
