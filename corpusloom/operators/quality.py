@@ -40,19 +40,34 @@ def length_stats(df: DataFrame, text: str = "raw_text") -> DataFrame:
     )
 
 
-def duplicate_groups(df: DataFrame, normal: Column | None = None) -> DataFrame:
-    """Groups of two or more equal texts: exact and normalized, of raw and body text, with sorted ids, labels, groups.
-    Texts meet by their SHA-256, so no text is shuffled."""
+KINDS = ("exact", "normalized")
+
+
+def _text_hashes(df: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
+    """(id, label, template_group, match_type, source_field, canonical_sha256) of raw and body text; only wanted kinds are made."""
     config = X.CleanConfig(unicode=False)
     kinds = []
     for source in ("raw_text", "body_text"):
         exact, plain = F.col(source), X.normalize(X.clean(source, config), config)
-        kinds += [F.struct(F.lit(kind).alias("match_type"), F.lit(source).alias("source_field"), F.sha2(value, 256).alias("canonical_sha256")) for kind, value in (("exact", exact), ("normalized", plain))]
-    long = df.select(F.col("id").cast("string").alias("id"), "label", "template_group", F.explode(F.array(*kinds)).alias("k")).select("id", "label", "template_group", "k.*")
+        kinds += [F.struct(F.lit(kind).alias("match_type"), F.lit(source).alias("source_field"), F.sha2(value, 256).alias("canonical_sha256")) for kind, value in (("exact", exact), ("normalized", plain)) if kind in wanted]
+    return df.select("id", "label", "template_group", F.explode(F.array(*kinds)).alias("k")).select("id", "label", "template_group", "k.*")
+
+
+def duplicate_groups(df: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """Groups of two or more equal texts: exact and normalized, of raw and body text, with sorted ids, labels, groups.
+    Texts meet by their SHA-256, so no text is shuffled."""
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), "|")
+    long = _text_hashes(df, kinds).withColumn("id", F.col("id").cast("string"))
     return long.groupBy("match_type", "source_field", "canonical_sha256").agg(F.count("*").alias("record_count"), joined("id").alias("record_ids"), joined("label").alias("labels"), joined("template_group").alias("template_groups")).where("record_count > 1")
 
 
+def duplicate_records(df: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """(match_type, source_field, canonical_sha256, id): a row for each record of each group of equal texts."""
+    keys, long = ["match_type", "source_field", "canonical_sha256"], _text_hashes(df, kinds)
+    groups = long.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    return long.join(groups, keys, "left_semi").select(*keys, "id")
+
+
 def group_audit(df: DataFrame) -> DataFrame:
     """One row: groups, groups with several labels, whether groups are a structure, and the splitter to use."""
     groups = df.groupBy("template_group").agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels"))
@@ -61,7 +76,7 @@ def group_audit(df: DataFrame) -> DataFrame:
     return row.select("*", structure.alias("has_group_structure"), F.when(structure & (F.col("spanning") == 0), "stratified_group").otherwise("stratified").alias("splitter"))
 
 
-# --- leakage audit: every rule gives findings with the columns FINDING
+# --- single rules of the leakage audit; audit.leakage has them all in one table
 
 
 def _findings(df: DataFrame, severity: str, category: str, feature: Column, details: str, by: list[str]) -> DataFrame:
@@ -151,17 +166,6 @@ def length_ratio(df: DataFrame, max_ratio: float, text: str = "raw_text") -> Dat
     return means.agg((F.max("mean") / F.min("mean")).alias("ratio"), F.count("*").alias("labels")).where(F.col("ratio") > max_ratio)
 
 
-def audit_leakage(df: DataFrame, labels: list[str], min_count: int = 10) -> DataFrame:
-    """The record-level rules as one findings table."""
-    parts = [label_literals(df, labels), template_literals(df), mixed_groups(df)]
-    small = lambda x, severity, category, details: x.select(F.lit(severity).alias("severity"), F.lit(category).alias("category"), "feature", "labels", "count", F.lit("").alias("record_ids"), F.lit(details).alias("details"))
-    parts += [small(one_class_flags(df), "warning", "structural_feature", "value occurs in one class"), small(exclusive_tokens(df, min_count), "info", "exclusive_token", "token occurs in one class")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 # --- review samples
 
 
@@ -170,14 +174,17 @@ def first_per_label(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def review_samples(df: DataFrame, per_label: int = 2) -> DataFrame:
-    """(id, selection_reasons): the first of each label, the shortest, the longest and the first with each flag."""
-    reasons = [first_per_label(df, per_label).select("id", F.concat(F.lit("label:"), "label").alias("reason"))]
-    size = F.length("raw_text")
-    for name, pick in (("shortest", F.min_by("id", F.struct(size, F.col("id")))), ("longest", F.max_by("id", F.struct(size, -F.col("id"))))):
-        reasons.append(df.agg(pick.alias("id")).select("id", F.lit(name).alias("reason")))
-    for flag in FLAGS:
-        reasons.append(df.where(flag).agg(F.min("id").alias("id")).where("id is not null").select("id", F.lit(flag).alias("reason")))
+def review_samples(df: DataFrame, per_label: int = 2, found: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(id, selection_reasons): the first of each label, the first of each difficulty and with each flag, the shortest, the
+    longest, and every id of the tables in found (by reason). First is the least id."""
+    reasons = [first_per_label(df, per_label).select("id", F.concat(F.lit("class_sample:"), "label").alias("reason"))]
+    reasons.append(df.where("difficulty is not null").groupBy("difficulty").agg(F.min("id").alias("id")).select("id", F.concat(F.lit("difficulty:"), "difficulty").alias("reason")))
+    size, marks = F.length("raw_text"), {f: f for f in FLAGS} | {c: r for c, r in (("contains_negation", "negation"), ("multi_intent", "multi_intent")) if c in df.columns}
+    picks = {"shortest": F.min_by("id", F.struct(size, F.col("id"))), "longest": F.min_by("id", F.struct(-size, F.col("id")))}
+    picks |= {reason: F.min(F.when(F.col(flag), F.col("id"))) for flag, reason in marks.items()}
+    one = df.agg(*[pick.alias(reason) for reason, pick in picks.items()])
+    reasons.append(one.unpivot([], list(picks), "reason", "id").where("id is not null").select("id", "reason"))
+    reasons += [ids.select("id").distinct().select("id", F.lit(reason).alias("reason")) for reason, ids in (found or {}).items()]
     out = reasons[0]
     for r in reasons[1:]:
         out = out.unionByName(r)
@@ -192,11 +199,6 @@ def spot_review(df: DataFrame) -> DataFrame:
     return marked.groupBy("template_group").agg(F.min_by("id", F.struct("order", "id")).alias("id"), F.min("order").alias("order")).select("template_group", "id", F.element_at(F.array(F.lit("shortest"), F.lit("longest"), F.lit("group")), F.col("order") + 1).alias("reason"))
 
 
-def explode_findings(findings: DataFrame) -> DataFrame:
-    """(finding columns, id): a row for each record of a finding."""
-    return findings.withColumn("id", F.explode(F.split("record_ids", r"\|")))
-
-
 def compare_flag_ratios(population: DataFrame, misclassified: DataFrame, flags=FLAGS) -> DataFrame:
     """(flag, share in the population, share among misclassified, z): pooled two-proportion statistic."""
     from ..functions.stats import two_proportion_z

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import stats as S
 from corpusloom.functions import text as X
+from corpusloom.operators import audit as U
 from corpusloom.operators import contamination as C
 from corpusloom.operators import errors as E
 from corpusloom.operators import features as V
@@ -140,6 +141,40 @@ def test_quality(spark):
     assert {r["template_group"]: r["reason"] for r in Q.spot_review(df).collect()} == {"g1": "shortest", "g2": "longest", "g3": "group"}
 
 
+def findings(df, **bounds):
+    return {(r["category"], r["feature"], r["record_id"]): r for r in U.leakage(df, ["refund"], U.Thresholds(**{"min_groups": 1, "max_group_share": 1.0, "max_length_ratio": 99.0, **bounds}), "variation_id").collect()}
+
+
+def test_audit(spark):
+    texts = ["From: Ann@x@Shop.ORG\nSubject: Hi\nplease refund\n--\nAnn Bee\n\nmore", "from: b@shop.org\nabout g1", "other words", None]
+    df = mails(spark, [(str(i), t, "aabb"[i], "g1" if i < 3 else "g2", i < 2) for i, t in enumerate(texts)] + [("4", "no label", None, "g3", True)])
+    got = findings(df, min_count=2)
+    assert ("label_literal", "refund", "0") in got and ("template_literal", "g1", "1") in got
+    assert got["template_group_label_mixing", "g1", ""]["labels"] == "a|b" and got["template_group_label_mixing", "g1", ""]["count"] == 3
+    assert got["metadata_one_to_one", "has_header=True", ""]["count"] == 2 and ("metadata_one_to_one", "difficulty=easy", "") not in got
+    assert got["class_specific_sender_domain", "shop.org", ""]["count"] == 2 and ("class_specific_subject", "hi", "") not in got
+    assert got["class_specific_token", "shop", ""]["labels"] == "a" and got["class_specific_bigram", "shop org", ""]["count"] == 2
+    assert got["shared_component_distribution", "variation_id=3", ""]["details"] == "shares by label: a=0.000, b=0.500"
+    assert not {"template_count", "template_concentration", "class_length_difference"} & {k[0] for k in got}
+    strict = findings(df, min_count=1, min_groups=2, max_group_share=0.6, max_length_ratio=1.0)
+    assert strict["class_specific_signature", "ann bee", ""]["count"] == 1 and strict["class_specific_subject", "hi", ""]["count"] == 1
+    assert ("template_count", "a", "") in strict and ("template_count", "b", "") not in strict and ("template_concentration", "a", "") in strict
+    assert strict["class_length_difference", "raw_text_mean", ""]["labels"] == "a|b"
+    keys = list(strict)
+    assert sorted(keys, key=lambda k: (strict[k]["severity"], *k)) == keys
+    found = U.leakage(df, ["refund"], U.Thresholds(min_count=2), "variation_id")
+    ids = {(r["category"], r["feature"]): r["record_ids"] for r in U.with_record_ids(found, U.finding_records(df, found, ["refund"], "variation_id")).collect()}
+    assert ids["template_group_label_mixing", "g1"] == "0|1|2" and ids["class_specific_token", "shop"] == "0|1" and ids["class_length_difference", "raw_text_mean"] == ""
+    assert not findings(df.where("false"))
+    assert U.Thresholds().of_stage("smoke").min_groups == 1 and U.Thresholds().of_stage("full").min_count == 50 and U.Thresholds().of_stage("pilot") == U.Thresholds()
+
+
+def test_review_reasons(spark):
+    df = mails(spark, [("1", "copy", "a", "g1", True), ("2", "copy", "b", "g1", False), ("3", "a long one", "b", "g2", False)])
+    got = {r["id"]: r["selection_reasons"] for r in Q.review_samples(df, 1, {"duplicate_finding": Q.duplicate_records(df)}).collect()}
+    assert got == {"1": "class_sample:a|difficulty:easy|duplicate_finding|has_header|shortest", "2": "class_sample:b|duplicate_finding", "3": "longest"}
+
+
 def test_folds(spark):
     df = mails(spark, [(str(i), f"t{i}", "ab"[i % 2], f"g{i // 4}", True) for i in range(80)])
     sizes = {(r["label"], r["fold_id"]): r["count"] for r in K.stratified_folds(df).groupBy("label", "fold_id").count().collect()}
