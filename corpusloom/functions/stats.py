@@ -48,3 +48,15 @@ def two_proportion_p(x1: Column, n1: Column, x2: Column, n2: Column) -> Column:
 def nearest_rank(sorted_values: Column, p: float) -> Column:
     """The value at index round(p * (n - 1)), halves to even, of a sorted array."""
     return F.element_at(sorted_values, F.bround(F.lit(p) * (F.size(sorted_values) - 1)).cast("int") + 1)
+
+
+def share_text(share: Column) -> Column:
+    """A share from 0 to 1 with two digits, rounded by its exact binary value, ties to even; format_string rounds the
+    shortest decimal up instead, and so gives 0.155, which is a little less, as 0.16."""
+    one = F.lit(1 << 62).cast("decimal(20,0)")
+    exact = (share * F.lit(2.0**62)).cast("long").cast("decimal(20,0)") * F.lit(100).cast("decimal(3,0)")
+    rest = exact % one
+    whole = ((exact - rest) / one).cast("int")
+    up = (rest * 2 > one) | ((rest * 2 == one) & (whole % 2 == 1))
+    digits = whole + up.cast("int")
+    return F.format_string("%d.%02d", F.floor(digits / 100), digits % 100)

@@ -120,6 +120,23 @@ def pair_summary(oof: DataFrame, assigned: DataFrame, baseline: str = "C0") -> D
     )
 
 
+def pulled_rates(oof: DataFrame, assigned: DataFrame, baseline: str = "C0") -> DataFrame:
+    """By level and cell: errors among contaminated samples, how many went to the subtopic, and their share; zeros where a
+    level has no such error."""
+    cell = ["contamination_level", "condition", "model"]
+    cells = oof.where(F.col("contamination_level") != baseline).select(*cell).distinct()
+    found = pair_summary(oof, assigned, baseline).groupBy(*cell).agg(F.sum("misclassified").alias("misclassified"), F.sum(F.when(F.col("main_label") != F.col("subtopic_label"), F.col("pulled")).otherwise(0)).alias("pulled"))
+    return cells.join(found, cell, "left").na.fill(0, ["misclassified", "pulled"]).withColumn("rate", safe_divide(F.col("pulled"), F.col("misclassified")))
+
+
+def subtopic_features(features: DataFrame, sentences: DataFrame, connectors: tuple[str, ...] = ()) -> DataFrame:
+    """features (feature and any others) with subtopics: those whose sentences have the feature as a word that is not a
+    connector, sorted and joined by |; empty where none has it, or the feature is null. sentences: subtopic, text."""
+    words = sentences.select("subtopic", F.explode(F.array_distinct(X.tokens(F.lower("text")))).alias("feature")).where(~F.col("feature").isin(*connectors))
+    topics = words.groupBy("feature").agg(F.array_join(F.array_sort(F.collect_set("subtopic")), "|").alias("subtopics"))
+    return features.join(topics, "feature", "left").na.fill("", ["subtopics"])
+
+
 def condition_statistics(assigned: DataFrame, levels=LEVELS) -> DataFrame:
     """(level, category, key, value): contaminated rows, pairs, places, sentences of each level."""
     rows = assigned.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).where(applies_at(F.col("level"), F.col("min_level")))

@@ -73,3 +73,26 @@ def fold_imbalance(assigned: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("template_group", "label", "n"))), lambda x: F.concat(x["template_group"], F.lit(":"), x["n"].cast("string"))), ";").alias("breakdown"),
         F.grouping("label").alias("g"),
     ).select("fold_id", F.when(F.col("g") == 1, "ALL").otherwise(F.col("label")).alias("label"), "groups", "samples", "breakdown")
+
+
+IMBALANCE = ("data_hash", "fold_artifact_hash", "fold_id", "label", "groups", "samples", "breakdown")
+
+
+def imbalance_summary(rows: DataFrame) -> DataFrame:
+    """One row about a fold imbalance table (columns IMBALANCE, as of fold_imbalance): cells, how many cells have how many
+    groups ("1:18;2:2"), least and most groups and samples of a cell and samples of a fold. An error if a column is missing,
+    rows are of several inputs, or cells or totals are missing."""
+    if missing := set(IMBALANCE) - set(rows.columns):
+        raise ValueError(f"missing columns: {sorted(missing)}")
+    every, cell = F.col("label") == "ALL", F.col("label") != "ALL"
+    total = lambda f, c: f(F.when(every, F.col(c)))
+    of = lambda f, c: f(F.when(cell, F.col(c)))
+    one = rows.agg(
+        F.countDistinct("data_hash").alias("data"), F.countDistinct("fold_artifact_hash").alias("folds"), F.count_if(every).alias("totals"), F.count_if(cell).alias("cells"),
+        of(F.min, "groups").alias("least_groups"), of(F.max, "groups").alias("most_groups"), of(F.min, "samples").alias("least_samples"), of(F.max, "samples").alias("most_samples"),
+        total(F.min, "samples").alias("least_fold"), total(F.max, "samples").alias("most_fold"),
+    )
+    sizes = rows.where(cell).groupBy("groups").agg(F.count("*").alias("n")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("groups", "n"))), lambda x: F.concat_ws(":", x["groups"].cast("string"), x["n"].cast("string"))), ";").alias("distribution"))
+    wrong = F.when(F.col("data") != 1, "rows of several corpora").when(F.col("folds") != 1, "rows of several fold tables").when((F.col("totals") == 0) | (F.col("cells") == 0), "cells or totals are missing")
+    checked = F.when(wrong.isNotNull(), F.raise_error(wrong).cast("long")).otherwise(F.col("cells"))
+    return one.crossJoin(F.broadcast(sizes)).select(checked.alias("cells"), "distribution", "least_groups", "most_groups", "least_samples", "most_samples", "least_fold", "most_fold")  # two single rows

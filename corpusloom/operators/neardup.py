@@ -66,3 +66,12 @@ def summary(pairs: DataFrame) -> DataFrame:
     """Pairs in all, beyond exact and normalized duplicates, across labels, in one and in two groups."""
     known = F.col("exact_raw_duplicate") | F.col("exact_body_duplicate") | F.col("normalized_duplicate")
     return pairs.agg(F.count("*").alias("total_pairs"), F.count_if(~known).alias("beyond_core"), F.count_if(~F.col("same_label")).alias("cross_label"), F.count_if(F.col("same_template_group")).alias("same_group"), F.count_if(~F.col("same_template_group")).alias("different_group"))
+
+
+def summary_by_level(levels: dict[str, DataFrame], **options) -> DataFrame:
+    """summary() of the near duplicates of each level's texts, with the level; options are those of near_duplicates."""
+    parts = [summary(near_duplicates(df, **options)).select(F.lit(level).alias("contamination_level"), "*") for level, df in levels.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..functions.stats import share_text
 
 FINDING = ["severity", "category", "feature", "labels", "count", "record_ids", "details"]
 FLAGS = ("has_header", "has_signature", "has_quoted_reply")
@@ -22,6 +23,11 @@ def counts_by(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy(*columns).agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select(*columns, "n", (F.col("n") / F.col("total")).alias("share"))
 
 
+def class_distribution(df: DataFrame) -> DataFrame:
+    """Per label: rows and their share of all with two digits (half of exact ties to even); rows without a label are a label of their own."""
+    return counts_by(df, "label").select("label", F.col("n").alias("count"), share_text(F.col("share")).alias("ratio"))
+
+
 def corpus_counts(df: DataFrame) -> DataFrame:
     """Per label: rows, distinct templates and variations, flags and their shares."""
     return df.groupBy("label").agg(
@@ -108,7 +114,7 @@ def mixed_groups(df: DataFrame) -> DataFrame:
 def group_shares(df: DataFrame) -> DataFrame:
     """Groups of each label and the share of its largest."""
     sizes = df.groupBy("label", "template_group").agg(F.count("*").alias("n"))
-    return sizes.groupBy("label").agg(F.count("*").alias("groups"), (F.max("n") / F.sum("n")).alias("largest_share"), F.sum("n").alias("n"))
+    return sizes.groupBy("label").agg(F.count("*").alias("groups"), (F.max("n") / F.sum("n")).alias("largest_share"), F.max("n").alias("largest"), F.sum("n").alias("n"))
 
 
 def concentrated_groups(df: DataFrame, min_groups: int, max_share: float) -> DataFrame:

@@ -37,12 +37,13 @@ def fold_violations(records: DataFrame, n_splits: int) -> DataFrame:
 
 def coverage(folds: DataFrame, corpus: DataFrame, key: str = "sample_id") -> DataFrame:
     """One row of counts: missing in folds, unknown to the corpus, disagreeing in label or group, validated not once."""
-    validated = folds.where("split_role = 'validation'").groupBy(key).agg(F.count("*").alias("times"), F.first("label").alias("fold_label"), F.first("template_group").alias("fold_group"))
+    validated = folds.where("split_role = 'validation'").groupBy(key).agg(F.count("*").alias("times"), *[f(c).alias(f"{c}_{n}") for c in ("label", "template_group") for n, f in (("least", F.min), ("most", F.max))])
     both = corpus.select(F.col(key), F.col("label"), F.col("template_group")).join(validated, key, "full")
+    differs = lambda c: F.count_if((F.col(c) != F.col(f"{c}_least")) | (F.col(c) != F.col(f"{c}_most")))
     return both.agg(
         F.count_if(F.col("times").isNull()).alias("missing"), F.count_if(F.col("label").isNull()).alias("unknown"),
-        F.count_if(F.col("times") > 1).alias("repeated"), F.count_if(F.col("label") != F.col("fold_label")).alias("label_differs"),
-        F.count_if(F.col("template_group") != F.col("fold_group")).alias("group_differs"),
+        F.count_if(F.col("times") > 1).alias("repeated"), differs("label").alias("label_differs"),
+        differs("template_group").alias("group_differs"),
     )
 
 

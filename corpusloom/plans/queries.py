@@ -129,6 +129,11 @@ def quality_length_stats(spark, d):
     return rounded(Q.length_stats(mails(spark, d)))
 
 
+@query(f"WITH {MAILS_SQL} SELECT label, count(*) AS count, printf('%.2f', count(*)::DOUBLE / (SELECT count(*) FROM mails)) AS ratio FROM mails GROUP BY label")
+def class_distribution(spark, d):
+    return Q.class_distribution(mails(spark, d))
+
+
 @query(f"WITH {MAILS_SQL}, g AS (SELECT template_group, count(*) AS n, count(DISTINCT label) AS k FROM mails GROUP BY 1) SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS rows, count(*) FILTER (k > 1) AS spanning, max(n) AS largest, count(*) < sum(n) AS has_group_structure, CASE WHEN count(*) < sum(n) AND count(*) FILTER (k > 1) = 0 THEN 'stratified_group' ELSE 'stratified' END AS splitter FROM g")
 def group_audit(spark, d):
     return Q.group_audit(mails(spark, d))
@@ -153,7 +158,7 @@ def leak_group_mixing(spark, d):
 
 @query(f"WITH {MAILS_SQL}, s AS (SELECT label, template_group, count(*) AS n FROM mails GROUP BY ALL) SELECT label, count(*) AS groups, round(max(n)::DOUBLE / sum(n), 6) AS largest_share, CAST(sum(n) AS BIGINT) AS n FROM s GROUP BY label")
 def leak_concentration(spark, d):
-    return rounded(Q.group_shares(mails(spark, d)))
+    return rounded(Q.group_shares(mails(spark, d)).drop("largest"))
 
 
 @query(f"WITH {MAILS_SQL}, l AS (SELECT label, unnest(['has_header=' || has_header, 'template_group=' || template_group, 'difficulty=' || difficulty]) AS value FROM mails) SELECT value AS feature, min(label) AS labels, count(*) AS count FROM l GROUP BY 1 HAVING count(DISTINCT label) = 1")
@@ -206,18 +211,18 @@ _MARKS = "m AS (SELECT * REPLACE (split_part(template_group, '-', 2) AS template
   judged AS (SELECT category, feature, record_id, count(*) AS count, min(label) AS labels FROM marks GROUP BY ALL HAVING count(DISTINCT label) = 1 AND count(*) >= CASE WHEN starts_with(category, 'class_specific_') THEN 10 ELSE 1 END),
   g AS (SELECT template_group, label, count(*) AS n FROM m GROUP BY ALL),
   mixed AS (SELECT template_group AS feature, string_agg(label, '|' ORDER BY label) AS labels, CAST(sum(n) AS BIGINT) AS count FROM g GROUP BY 1 HAVING count(*) > 1),
-  shares AS (SELECT label, count(*) AS groups, max(n)::DOUBLE / sum(n) AS share, CAST(sum(n) AS BIGINT) AS count FROM g GROUP BY 1),
-  t AS (SELECT label, count(*) AS total, avg(length(raw_text)) AS mean FROM m GROUP BY 1), c AS (SELECT urgency, label, count(*) AS n FROM m GROUP BY ALL),
-  r AS (SELECT urgency, t.label, n, coalesce(n, 0)::DOUBLE / total AS share FROM (SELECT DISTINCT urgency FROM c) CROSS JOIN t LEFT JOIN c USING (urgency, label)),
-  spread AS (SELECT 'urgency=' || urgency AS feature, string_agg(label, '|' ORDER BY label) FILTER (n IS NOT NULL) AS labels, CAST(sum(n) AS BIGINT) AS count, 'shares by label: ' || string_agg(printf('%s=%.3f', label, share), ', ' ORDER BY label) AS told FROM r GROUP BY urgency HAVING count(*) > 1 AND max(share) - min(share) > 0.02)"""
+  shares AS (SELECT label, count(*) AS groups, max(n)::DOUBLE / sum(n) AS share, max(n) AS largest, CAST(sum(n) AS BIGINT) AS count FROM g GROUP BY 1),
+  t AS (SELECT label, count(*) AS total, avg(length(raw_text)) AS mean, CAST(sum(length(raw_text)) AS BIGINT) AS size FROM m GROUP BY 1), c AS (SELECT urgency, label, count(*) AS n FROM m GROUP BY ALL),
+  r AS (SELECT urgency, t.label, n, coalesce(n, 0)::DOUBLE / total AS share, coalesce(n, 0) || '/' || total AS told FROM (SELECT DISTINCT urgency FROM c) CROSS JOIN t LEFT JOIN c USING (urgency, label)),
+  spread AS (SELECT 'urgency=' || urgency AS feature, string_agg(label, '|' ORDER BY label) FILTER (n IS NOT NULL) AS labels, CAST(sum(n) AS BIGINT) AS count, 'records by label: ' || string_agg(label || '=' || told, ', ' ORDER BY label) AS told FROM r GROUP BY urgency HAVING count(*) > 1 AND max(share) - min(share) > 0.02)"""
 _SEVERITY = "CASE " + " ".join(f"WHEN category = '{k}' THEN '{v}'" for k, v in U.SEVERITY.items()) + " END"
 _DETAILS = "CASE " + " ".join(f"WHEN category = '{k}' THEN '{v}'" for k, v in U.DETAILS.items()) + " END"
 _FINDINGS = f"""found AS (SELECT {_SEVERITY} AS severity, category, feature, labels, count, record_id, {_DETAILS} AS details FROM judged
     UNION ALL SELECT 'error', 'template_group_label_mixing', feature, labels, count, '', '{U.DETAILS["template_group_label_mixing"]}' FROM mixed
     UNION ALL SELECT 'error', 'template_count', label, label, count, '', groups || ' groups are too few' FROM shares WHERE groups < 100
-    UNION ALL SELECT 'warning', 'template_concentration', label, label, count, '', printf('the largest group has a share of %.3f', share) FROM shares WHERE share > 0.25
+    UNION ALL SELECT 'warning', 'template_concentration', label, label, count, '', 'the largest group has ' || largest || ' of them' FROM shares WHERE share > 0.25
     UNION ALL SELECT 'warning', 'shared_component_distribution', feature, labels, count, '', told FROM spread
-    UNION ALL SELECT 'warning', 'class_length_difference', 'raw_text_mean', string_agg(label, '|' ORDER BY label), CAST(sum(total) AS BIGINT), '', 'mean characters: ' || string_agg(printf('%s=%.3f', label, mean), ', ' ORDER BY label) FROM t HAVING max(mean) > 1.001 * min(mean))"""
+    UNION ALL SELECT 'warning', 'class_length_difference', 'raw_text_mean', string_agg(label, '|' ORDER BY label), CAST(sum(total) AS BIGINT), '', 'characters by label: ' || string_agg(label || '=' || size || '/' || total, ', ' ORDER BY label) FROM t HAVING max(mean) > 1.001 * min(mean))"""
 _LEAKS = f"WITH {MAILS_SQL}, {_MARKS}, {_FINDINGS}"
 _THRESHOLDS = U.Thresholds(min_groups=100, max_spread=0.02, max_length_ratio=1.001)
 
@@ -304,12 +309,25 @@ def fold_imbalance(spark, d):
     return K.fold_imbalance(_folds(spark, d))
 
 
-@query("SELECT (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS missing, (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS unknown")
+_BROKEN = """broken AS (SELECT CASE WHEN id % 9 = 0 THEN -1 - id ELSE id END AS sample_id, 'validation' AS split_role, CASE WHEN id % 7 = 0 THEN 'other' ELSE label END AS label, CASE WHEN id % 5 = 0 THEN 'other' ELSE template_group END AS template_group FROM mails, range(CASE WHEN id % 8 = 0 THEN 2 ELSE 1 END)),
+  validated AS (SELECT sample_id, count(*) AS times, min(label) AS label, min(template_group) AS template_group FROM broken GROUP BY 1)"""
+
+
+@query(f"WITH {MAILS_SQL}, {_BROKEN} SELECT count(*) FILTER (v.times IS NULL) AS missing, count(*) FILTER (m.label IS NULL) AS unknown, count(*) FILTER (v.times > 1) AS repeated, count(*) FILTER (v.label <> m.label) AS label_differs, count(*) FILTER (v.template_group <> m.template_group) AS group_differs FROM mails m FULL JOIN validated v ON v.sample_id = m.id".replace("range(CASE WHEN id % 8 = 0 THEN 2 ELSE 1 END)", "(SELECT unnest([0, 1]) AS k) WHERE k = 0 OR id % 8 = 0"))
 def coverage_check(spark, d):
-    """documents against labels, which cover a part of them."""
-    m = mails(spark, d).withColumnRenamed("id", "sample_id")
-    some = table(spark, d, "labels").select(F.col("doc_id").alias("sample_id"), F.lit("validation").alias("split_role"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("template_group"))
-    return A.coverage(some, m).select("missing", "unknown")
+    """Folds with other ids, repeated rows, other labels and groups against their corpus: each count finds its rows."""
+    m, i = mails(spark, d), F.col("id")
+    broken = m.select(
+        F.when(i % 9 == 0, -1 - i).otherwise(i).alias("sample_id"), F.lit("validation").alias("split_role"), F.when(i % 7 == 0, "other").otherwise(F.col("label")).alias("label"),
+        F.when(i % 5 == 0, "other").otherwise(F.col("template_group")).alias("template_group"), F.explode(F.when(i % 8 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("k"),
+    )
+    return A.coverage(broken, m.withColumnRenamed("id", "sample_id"))
+
+
+@query(f"WITH {MAILS_SQL}, {_FOLDS}, g AS (SELECT fold_id, label, count(DISTINCT template_group) AS groups, count(*) AS samples FROM folds GROUP BY ALL), f AS (SELECT fold_id, sum(samples) AS samples FROM g GROUP BY 1), h AS (SELECT groups, count(*) AS n FROM g GROUP BY 1) SELECT count(*) AS cells, (SELECT string_agg(groups || ':' || n, ';' ORDER BY groups) FROM h) AS distribution, min(groups) AS least_groups, max(groups) AS most_groups, min(samples) AS least_samples, max(samples) AS most_samples, (SELECT CAST(min(samples) AS BIGINT) FROM f) AS least_fold, (SELECT CAST(max(samples) AS BIGINT) FROM f) AS most_fold FROM g")
+def fold_imbalance_summary(spark, d):
+    rows = K.fold_imbalance(_folds(spark, d))
+    return K.imbalance_summary(rows.select("*", F.lit("d").alias("data_hash"), F.lit("f").alias("fold_artifact_hash")))
 
 
 @query(f"WITH {MAILS_SQL}, {_FOLDS}, {OOF_SQL}, p AS (SELECT sample_id, fold_id FROM oof WHERE condition = 'D0' AND model = 'logreg') SELECT count(*) FILTER (f.id IS NULL) AS unknown, count(*) FILTER (p.sample_id IS NULL) AS missing, count(*) FILTER (p.fold_id <> f.fold_id) AS other_fold FROM p FULL JOIN folds f ON p.sample_id = f.id")
@@ -594,6 +612,18 @@ def mcnemar_statistic(spark, d):
     return rounded(C.mcnemar(_transitions(spark, d)).select("contamination_level", "model", "grp", "c2i", "i2c", "statistic"))
 
 
+@query(f"WITH {MAILS_SQL}, {LEVELS_SQL}, {_ASSIGN}, {_TRANS} SELECT contamination_level, condition, model, count(*) FILTER (hit AND NOT after) AS misclassified, count(*) FILTER (hit AND NOT after AND predicted_label = subtopic_label) AS pulled, round(coalesce(count(*) FILTER (hit AND NOT after AND predicted_label = subtopic_label)::DOUBLE / nullif(count(*) FILTER (hit AND NOT after), 0), 0), 6) AS rate FROM lt WHERE contamination_level <> 'C0' GROUP BY ALL")
+def pulled_rates(spark, d):
+    return rounded(C.pulled_rates(oof_by_level(spark, d), _assigned(spark, d)))
+
+
+@query(f"WITH {MAILS_SQL}, f AS (SELECT DISTINCT unnest(regexp_extract_all(lower(body_text), '[\\p{{L}}\\p{{N}}]+(''[\\p{{L}}\\p{{N}}]+)?')) AS feature FROM mails), v AS (SELECT DISTINCT subtopic, unnest(['way', subtopic, 'matter', CAST(i AS VARCHAR), 'open']) AS feature FROM (VALUES ('de'), ('en'), ('es'), ('fr')) AS a(subtopic), range(12) AS b(i)) SELECT feature, coalesce((SELECT string_agg(subtopic, '|' ORDER BY subtopic) FROM v WHERE v.feature = f.feature), '') AS subtopics FROM f")
+def subtopic_features(spark, d):
+    """Every word of the corpus."""
+    words = mails(spark, d).select(F.explode(F.array_distinct(X.tokens(F.lower("body_text")))).alias("feature")).distinct()
+    return C.subtopic_features(words, D.sentences(spark), ("by", "the", "is"))
+
+
 @query()
 def mcnemar_p_values(spark, d):
     t = _transitions(spark, d)

@@ -154,7 +154,7 @@ def test_audit(spark):
     assert got["metadata_one_to_one", "has_header=True", ""]["count"] == 2 and ("metadata_one_to_one", "difficulty=easy", "") not in got
     assert got["class_specific_sender_domain", "shop.org", ""]["count"] == 2 and ("class_specific_subject", "hi", "") not in got
     assert got["class_specific_token", "shop", ""]["labels"] == "a" and got["class_specific_bigram", "shop org", ""]["count"] == 2
-    assert got["shared_component_distribution", "variation_id=3", ""]["details"] == "shares by label: a=0.000, b=0.500"
+    assert got["shared_component_distribution", "variation_id=3", ""]["details"] == "records by label: a=0/2, b=1/2"
     assert not {"template_count", "template_concentration", "class_length_difference"} & {k[0] for k in got}
     strict = findings(df, min_count=1, min_groups=2, max_group_share=0.6, max_length_ratio=1.0)
     assert strict["class_specific_signature", "ann bee", ""]["count"] == 1 and strict["class_specific_subject", "hi", ""]["count"] == 1
@@ -175,6 +175,35 @@ def test_review_reasons(spark):
     assert got == {"1": "class_sample:a|difficulty:easy|duplicate_finding|has_header|shortest", "2": "class_sample:b|duplicate_finding", "3": "longest"}
 
 
+def test_share_text(spark):
+    shares = [0.155, 0.125, 0.375, 0.005, 0.0, 1.0, 1 / 3, 0.995, 0.285, 0.0049, *[k / 200 for k in range(200)]]
+    got = spark.createDataFrame([(x,) for x in shares], "x double").select("x", S.share_text(F.col("x")).alias("t")).collect()
+    assert [r["t"] for r in got] == [f"{r['x']:.2f}" for r in got]
+
+
+def test_imbalance_summary(spark):
+    schema = "data_hash string, fold_artifact_hash string, fold_id int, label string, groups int, samples int, breakdown string"
+    rows = [("d", "f", 0, "a", 1, 4, "g:4"), ("d", "f", 0, "b", 2, 6, "h:2;i:4"), ("d", "f", 0, "ALL", 3, 10, ""), ("d", "f", 1, "a", 1, 5, "k:5"), ("d", "f", 1, "ALL", 1, 5, "")]
+    frame = lambda r: spark.createDataFrame(r, schema)
+    assert tuple(K.imbalance_summary(frame(rows)).first()) == (3, "1:2;2:1", 1, 2, 4, 6, 5, 10)
+    for broken, message in (([*rows, ("e", *rows[0][1:])], "corpora"), ([*rows, ("d", "e", *rows[0][2:])], "fold tables"), (rows[:2], "totals")):
+        with pytest.raises(Exception, match=message):
+            K.imbalance_summary(frame(broken)).collect()
+    with pytest.raises(ValueError, match="breakdown"):
+        K.imbalance_summary(frame(rows).drop("breakdown"))
+
+
+def test_subtopic_features_and_levels(spark):
+    sentences = spark.createDataFrame([("x", "The refund now"), ("y", "a Refund the bill")], "subtopic string, text string")
+    features = spark.createDataFrame([("refund",), ("bill",), ("the",), ("zebra",), (None,)], "feature string")
+    got = {r["feature"]: r["subtopics"] for r in C.subtopic_features(features, sentences, ("the",)).collect()}
+    assert got == {"refund": "x|y", "bill": "y", "the": "", "zebra": "", None: ""}
+    text = "one two three four five six seven eight"
+    df = mails(spark, [("1", text, "a", "g1", True), ("2", text, "b", "g2", True), ("3", "quite another text about other things", "b", "g2", True)])
+    got = {r["contamination_level"]: (r["total_pairs"], r["cross_label"]) for r in N.summary_by_level({"C0": df, "C10": df.where("id <> '2'")}).collect()}
+    assert got == {"C0": (1, 1), "C10": (0, 0)}
+
+
 def test_folds(spark):
     df = mails(spark, [(str(i), f"t{i}", "ab"[i % 2], f"g{i // 4}", True) for i in range(80)])
     sizes = {(r["label"], r["fold_id"]): r["count"] for r in K.stratified_folds(df).groupBy("label", "fold_id").count().collect()}
