@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontamination, license_scan, line_dedup, packing, quality, simhash, token_store, toxicity, url_filter
+from . import bpe_stream, chat, decontamination, license_scan, line_dedup, packing, phrases, quality, simhash, token_store, toxicity, url_filter, whitening
 
 
 def queries() -> dict:
@@ -19,13 +19,16 @@ def queries() -> dict:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_embedding_whitening": whitening.op11_embedding_whitening,
+        "op12_phrase_collocations": phrases.op12_phrase_collocations,
+        "op13_bpe_stream": bpe_stream.op13_bpe_stream,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     found = {}
-    for module in (chat, license_scan, line_dedup, quality, url_filter):
+    for module in (chat, license_scan, line_dedup, phrases, quality, url_filter):
         found |= module.SQL
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
