@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.scratch import written
+from . import setjoin
 
 NUM_PERM, BANDS, THRESHOLD, SEED = 64, 16, 0.5, 42
 
@@ -62,6 +64,31 @@ def near_duplicates(df: DataFrame, text: str = "body_text", k: int = 3, chars: b
     )
 
 
+def exact_near_duplicates(df: DataFrame, text: str = "body_text", k: int = 3, chars: bool = False, threshold: float = THRESHOLD) -> setjoin.SimilarSets:
+    """Every pair of different shingle sets at or above the threshold, and the class of every row. MinHash is the fast way that
+    misses pairs; this one misses none."""
+    return setjoin.similar_sets(with_shingles(df, text, k, chars).select("id", "__shingles"), "id", "__shingles", threshold)
+
+
+def exact_summary(df: DataFrame, text: str = "body_text", k: int = 3, chars: bool = False, threshold: float = THRESHOLD) -> DataFrame:
+    """The columns of summary() over all pairs of rows, copies included, without making them: pairs are counted by class. A null text
+    is empty."""
+    found = exact_near_duplicates(df, text, k, chars, threshold)
+    raw, body = F.coalesce("raw_text", F.lit("")), F.coalesce("body_text", F.lit(""))
+    plain = X.normalize(X.clean(raw, X.CleanConfig(unicode=False)), X.CleanConfig(unicode=False))
+    about = df.select("id", "label", "template_group", F.sha2(body, 256).alias("body"), F.sha2(plain, 256).alias("plain"))
+    members = written(about.join(found.membership, "id"), "members")
+    pairs = written(found.pairs, "similar-pairs")
+    # texts equal as they are also agree when normalized
+    wanted = {"total": [], "label": ["label"], "group": ["template_group"], "body": ["body"], "plain": ["plain"], "both": ["body", "plain"]}
+    one = None
+    for name, columns in wanted.items():
+        n = setjoin.agreeing_pairs(members, pairs, columns).withColumnRenamed("n", name)
+        one = n if one is None else one.crossJoin(F.broadcast(n))  # single rows
+    c = F.col
+    return one.select(c("total").alias("total_pairs"), (c("total") - c("body") - c("plain") + c("both")).alias("beyond_core"), (c("total") - c("label")).alias("cross_label"), c("group").alias("same_group"), (c("total") - c("group")).alias("different_group"))
+
+
 def summary(pairs: DataFrame) -> DataFrame:
     """Pairs in all, beyond exact and normalized duplicates, across labels, in one and in two groups."""
     known = F.col("exact_raw_duplicate") | F.col("exact_body_duplicate") | F.col("normalized_duplicate")
@@ -69,8 +96,8 @@ def summary(pairs: DataFrame) -> DataFrame:
 
 
 def summary_by_level(levels: dict[str, DataFrame], **options) -> DataFrame:
-    """summary() of the near duplicates of each level's texts, with the level; options are those of near_duplicates."""
-    parts = [summary(near_duplicates(df, **options)).select(F.lit(level).alias("contamination_level"), "*") for level, df in levels.items()]
+    """The near duplicates of each level's texts in numbers, with the level; options are those of exact_summary."""
+    parts = [exact_summary(df, **options).select(F.lit(level).alias("contamination_level"), "*") for level, df in levels.items()]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

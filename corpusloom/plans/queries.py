@@ -535,8 +535,41 @@ def near_duplicates(spark, d):
     return rounded(N.near_duplicates(_texts(spark, d), num_perm=16, bands=4).select("sample_id_a", "sample_id_b", "jaccard_similarity", "same_label", "exact_raw_duplicate"))
 
 
-@query()
+_CLASSES = """c AS (SELECT array_to_string(list_sort(s), chr(0)) AS k, min(id) AS class_id, any_value(s) AS s FROM s GROUP BY 1),
+m AS (SELECT id, class_id FROM s JOIN c ON c.k = array_to_string(list_sort(s.s), chr(0))),
+e AS (SELECT class_id, unnest(s) AS g FROM c),
+o AS (SELECT x.class_id AS a, y.class_id AS b, count(*) AS overlap FROM e x JOIN e y ON x.g = y.g AND x.class_id < y.class_id GROUP BY ALL),
+sim AS (SELECT a, b, overlap, overlap::DOUBLE / (len(x.s) + len(y.s) - overlap) AS jaccard FROM o JOIN c x ON x.class_id = a JOIN c y ON y.class_id = b WHERE overlap >= 0.5 * (len(x.s) + len(y.s) - overlap))"""
+_SETS = _SHINGLES[: _SHINGLES.index(", u AS")]
+
+
+@query(f"WITH {_SETS}, {_CLASSES} SELECT a, b, overlap, round(jaccard, 6) AS jaccard FROM sim")
+def near_duplicates_exact(spark, d):
+    """Every pair of different shingle sets of similarity 0.5 or more."""
+    return rounded(N.exact_near_duplicates(_texts(spark, d)).pairs.select("a", "b", F.col("overlap").cast("long").alias("overlap"), "jaccard"))
+
+
+@query(f"WITH {_SETS}, {_CLASSES}, l AS (SELECT class_id, count(*) AS links FROM (SELECT a AS class_id FROM sim UNION ALL SELECT b FROM sim) GROUP BY ALL) SELECT id, m.class_id AS class_id, coalesce(links, 0) AS links FROM m LEFT JOIN l ON l.class_id = m.class_id")
+def near_duplicate_classes(spark, d):
+    """The class of every document, whose rows have equal shingle sets, and how many classes are similar to it."""
+    found = N.exact_near_duplicates(_texts(spark, d))
+    links = found.pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
+    return found.membership.join(links, "class_id", "left").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+@query(
+    f"WITH {_SETS}, {_CLASSES}, i AS (SELECT m.id AS id, class_id, lang AS label, lang || '-' || source AS g, coalesce(text, '') AS body, {_PLAIN.format("coalesce(text, '')")} AS plain FROM m JOIN documents d ON d.doc_id = m.id), "
+    "p AS (SELECT x.id AS a, y.id AS b FROM i x JOIN i y ON x.class_id = y.class_id AND x.id < y.id UNION ALL SELECT x.id, y.id FROM sim JOIN i x ON x.class_id = sim.a JOIN i y ON y.class_id = sim.b) "
+    "SELECT count(*) AS total_pairs, count(*) FILTER (x.body <> y.body AND x.plain <> y.plain) AS beyond_core, count(*) FILTER (x.label <> y.label) AS cross_label, count(*) FILTER (x.g = y.g) AS same_group, count(*) FILTER (x.g <> y.g) AS different_group FROM p JOIN i x ON x.id = p.a JOIN i y ON y.id = p.b"
+)
 def near_dup_summary(spark, d):
+    """Over all pairs of documents of similarity 0.5 or more, none missed."""
+    return N.exact_summary(_texts(spark, d))
+
+
+@query()
+def near_dup_summary_minhash(spark, d):
+    """The same by MinHash and LSH, which is faster on long texts and misses a third of the pairs at the threshold."""
     return N.summary(N.near_duplicates(_texts(spark, d), family="xxhash64"))
 
 
