@@ -25,7 +25,7 @@ from .common import UPPER, arrow_batches, drop_path, materialize, scratch_path,
 
 LEAST, LONGEST, TOP = 10, 3, 2000
 #: Words that a task counts at once, and bits of the filter of frequent n-grams (16 MB), with this many set for each.
-FLUSH_WORDS, FILTER_BITS, FILTER_HASHES = 2_000_000, 1 << 27, 4
+FLUSH_WORDS, FILTER_BITS, FILTER_HASHES = 1_500_000, 1 << 27, 4
 #: Memory of one bucket's duckdb; beyond it spills.
 BUCKET_MEMORY = "256MB"
 #: Parts that a language's candidates are ranked in before they meet.
@@ -122,17 +122,15 @@ def _task_counts(distinct: DataFrame, size: int, screen: FrequentFilter | None)
     shared = distinct.sparkSession.sparkContext.broadcast(screen.data) if screen is not None else None
     bits = FILTER_BITS
 
-    def count(lang: str, texts: list[bytes], weights: list[int]) -> Iterator[pa.RecordBatch]:
-        split = [t.split(b" ") for t in texts]
-        lengths = np.fromiter(map(len, split), np.int64, len(split))
-        number: dict[bytes, int] = {}
-        ids = np.fromiter((number.setdefault(w, len(number)) for words in split for w in words), np.int64, int(lengths.sum()))
-        words = list(number)
-        left = np.arange(len(ids)) < np.repeat(np.cumsum(lengths) - size + 1, lengths)  # a phrase can start here
-        start = np.flatnonzero(left)
-        weight = np.repeat(np.array(weights, np.int64), lengths)[start]
+    def count(lang: str, texts: pa.Array, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
+        split = pc.split_pattern(texts, " ")
+        lengths = pc.list_value_length(split).to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        ids, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        start = np.flatnonzero(np.arange(len(ids)) < np.repeat(np.cumsum(lengths) - size + 1, lengths))  # where a phrase can start
+        weight = np.repeat(weights, lengths)[start]
         if shared is not None and len(start):
-            hashes, known = _hash(lang, words), FrequentFilter(bits, shared.value)
+            hashes, known = _hash(lang, words.cast(pa.binary()).to_pylist()), FrequentFilter(bits, shared.value)
             at = [hashes[ids[start + k]] for k in range(size)]
             keep = known.has(_joined(at[:-1])) & known.has(_joined(at[1:]))
             start, weight = start[keep], weight[keep]
@@ -145,31 +143,31 @@ def _task_counts(distinct: DataFrame, size: int, screen: FrequentFilter | None)
                 code = np.unique(code, return_inverse=True)[1]
                 base = len(code)
             code, base = code * len(words) + c, base * len(words)
-        order = np.argsort(code, kind="stable")
+        order = np.argsort(code)
         first = np.flatnonzero(np.diff(code[order], prepend=-1))
         sums, rows = np.add.reduceat(weight[order], first), order[first]
-        names = pa.array(words, pa.binary()).cast(pa.string())
         for at in range(0, len(rows), 1 << 16):
             part = rows[at : at + (1 << 16)]
-            made = [names.take(pa.array(c[part])) for c in columns]
+            made = [words.take(pa.array(c[part])) for c in columns]
             text = pc.binary_join_element_wise(*made, " ") if size > 1 else made[0]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), text, pa.array(sums[at : at + (1 << 16)])], names=["lang", "phrase", "n"])
 
+    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        for lang in pc.unique(rows["lang"]).to_pylist():
+            own = rows.filter(pc.equal(rows["lang"], lang))
+            yield from count(lang, pa.concat_arrays(own["piece"].chunks), own["n"].to_numpy())
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[list[bytes], list[int]]] = {}
-        n = 0
+        held, n = [], 0
         for batch in batches:
-            for lang, piece, weight in zip(batch.column(0).to_pylist(), utf8(batch, "piece"), batch.column(2).to_pylist()):
-                texts, weights = held.setdefault(lang, ([], []))
-                texts.append(piece)
-                weights.append(weight)
-                n += piece.count(b" ") + 1
-                if n >= FLUSH_WORDS:
-                    for own, found in held.items():
-                        yield from count(own, *found)
-                    held, n = {}, 0
-        for own, found in held.items():
-            yield from count(own, *found)
+            held.append(batch)
+            n += batch.num_rows + (pc.sum(pc.count_substring(batch.column(1), " ")).as_py() or 0)
+            if n >= FLUSH_WORDS:
+                yield from flush(held)
+                held, n = [], 0
+        if held:
+            yield from flush(held)
 
     return distinct.select("lang", "piece", "n").mapInArrow(run, "lang string, phrase string, n long")
 
