@@ -753,9 +753,13 @@ def source_hashes(spark, d):
 # --- models
 
 
+def _documents(spark, d):
+    return _folds(spark, d).select("id", "label", "fold_id", F.col("raw_text").alias("text"))
+
+
 def _cell(spark, d, model):
-    docs = _folds(spark, d).select("id", "label", "fold_id", F.col("raw_text").alias("text"))
-    return L.fit_cell(docs, V.analyze(F.col("text")), L.FitConfig(model, max_features=1024, steps=12))
+    """All words are features."""
+    return L.fit_cell(_documents(spark, d), V.analyze(F.col("text")), L.FitConfig(model))
 
 
 def _cv(spark, d, model):
@@ -781,9 +785,81 @@ def fold_coefficients(spark, d):
 
 @query()
 def feature_shift(spark, d):
-    """Feature means of one model against those of the other."""
-    means = lambda m: V.feature_means(V.coefficient_rankings(_cell(spark, d, m).coefficients, ["fold_id", "label"], 20))
-    return V.feature_shift(means("linear_svc"), means("logreg"))
+    """Mean coefficients at C30 against those at C0, with the topic whose sentences have the word."""
+    cells = _level_cells(spark, d, ["C0", "C30"])
+    words = D.sentences(spark).select(F.col("subtopic").alias("topic"), F.explode(F.array_distinct(V.analyze(F.col("text")))).alias("feature"))
+    return L.level_shift(cells["C0", "logreg"], cells["C30", "logreg"], 20, words)
+
+
+def _changed(spark, d, level):
+    """The documents that a level changes, with their new text."""
+    made = C.contaminate(mails(spark, d), _assigned(spark, d), D.sentences(spark), (level,))
+    return made.where("contaminated").select("id", F.col("raw_text").alias("text"))
+
+
+def _level_cells(spark, d, levels):
+    df, terms = _documents(spark, d), V.analyze(F.col("text"))
+    changed = {x: None if x == "C0" else _changed(spark, d, x) for x in levels}
+    return L.run_levels(df.select("id", "label", "fold_id"), V.term_counts(df, terms), changed, terms, [L.FitConfig("logreg")])
+
+
+@query()
+def level_cell_runs(spark, d):
+    """Sizes, steps and metrics of one model at the four levels; a level starts from C0 and recounts changed rows only."""
+    out = None
+    for (level, model), cell in _level_cells(spark, d, D.LEVELS).items():
+        scored = cell.oof.select("fold_id", F.lit("D1").alias("condition"), F.lit(model).alias("model"), "true_label", "predicted_label")
+        macro = M.metrics_long(scored).where("metric = 'macro_f1'").select("fold_id", F.col("value").alias("macro_f1"))
+        one = cell.fold_runs.join(macro, "fold_id").select(F.lit(level).alias("contamination_level"), F.lit(model).alias("model"), "fold_id", "n_train", "n_test", "vocabulary_size", "steps", "macro_f1")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_EVIDENCE = f"""{OOF_SQL}, er AS (SELECT sample_id, fold_id FROM oof WHERE condition = 'D1' AND model = 'logreg' AND true_label <> predicted_label),
+tc AS (SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM documents) GROUP BY ALL),
+n AS (SELECT f, count(*) FILTER (doc_id % 5 <> f) AS train FROM documents, range(5) AS r(f) GROUP BY f),
+df AS (SELECT term, f, count(*) FILTER (id % 5 <> f) AS df FROM tc, range(5) AS r(f) GROUP BY ALL),
+ev AS (SELECT sample_id, e.fold_id, tc.term, tf * (ln((1.0 + train) / (1.0 + df.df)) + 1) AS x FROM er e JOIN tc ON tc.id = e.sample_id JOIN df ON df.term = tc.term AND df.f = e.fold_id JOIN n ON n.f = e.fold_id WHERE df.df > 0),
+nm AS (SELECT sample_id, sqrt(sum(x * x)) AS norm FROM ev GROUP BY 1),
+ct AS (SELECT ev.sample_id, fold_id, label, term, x / norm * (((length(term) * 7 + fold_id * 3 + k * 5) % 11) - 5)::DOUBLE / 10 AS contribution
+  FROM ev JOIN nm ON nm.sample_id = ev.sample_id, (VALUES ('de', 0), ('en', 1), ('es', 2), ('fr', 3)) AS l(label, k))"""
+
+
+def _fixed_evidence(spark, d):
+    """Contributions of the misclassified rows under coefficients that follow from a word's length, fold and label."""
+    docs = table(spark, d, "documents")
+    counts = V.term_counts(docs.select(F.col("doc_id").alias("id"), "text"), V.analyze(F.col("text")))
+    known = counts.select("term", (F.col("id") % 5).cast("int").alias("own")).groupBy("term").agg(F.count("*").alias("df"), *[F.count_if(F.col("own") == f).alias(f"in{f}") for f in range(5)])
+    train = docs.agg(*[F.count_if(F.col("doc_id") % 5 != f).alias(f"train{f}") for f in range(5)])
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("fold_id"), (F.col("df") - F.col(f"in{f}")).alias("df"), F.col(f"train{f}").alias("train")) for f in range(5)])).alias("x")
+    long = known.crossJoin(F.broadcast(train)).select("term", each).select(F.col("term").alias("feature"), "x.*").where("df > 0")  # train is one row
+    w = F.array(*[(((F.length("feature") * 7 + F.col("fold_id") * 3 + k * 5) % 11) - 5) / 10 for k in range(4)])
+    weights = long.select("fold_id", "feature", (F.log((1.0 + F.col("train")) / (1.0 + F.col("df"))) + 1).alias("idf"), w.alias("weights"))
+    errors = oof(spark, d).where("condition = 'D1' AND model = 'logreg' AND true_label <> predicted_label")
+    return L.fold_contributions(errors, counts, weights, list(LABELS))
+
+
+@query(f"WITH {_EVIDENCE} SELECT sample_id, label, round(sum(contribution) + (fold_id - 2)::DOUBLE / 4, 6) AS score FROM ct GROUP BY sample_id, fold_id, label")
+def error_margins(spark, d):
+    """Scores of misclassified rows from their contributions, by their own fold's idf and coefficients."""
+    intercepts = spark.createDataFrame([(f, x, (f - 2) / 4) for f in range(5) for x in LABELS], "fold_id int, label string, intercept double")
+    return rounded(L.margins(_fixed_evidence(spark, d), intercepts))
+
+
+@query(f"WITH {_EVIDENCE}, rk AS (SELECT *, row_number() OVER (PARTITION BY sample_id, label ORDER BY round(abs(contribution), 9) DESC, term) AS rank FROM ct) SELECT sample_id, label, CAST(rank AS INTEGER) AS rank, term, round(contribution, 6) AS contribution FROM rk WHERE rank <= 5")
+def error_evidence(spark, d):
+    """The five terms that weigh most in each misclassified row and label; amounts equal to nine digits are ties."""
+    found = _fixed_evidence(spark, d).withColumn("contribution", F.round("contribution", 9))
+    return rounded(L.top_contributions(found, 5))
+
+
+@query()
+def model_evidence(spark, d):
+    """The same of a fitted model over all words, as text, beside the margin."""
+    cell = _cell(spark, d, "linear_svc")
+    docs = _documents(spark, d)
+    found = L.fold_contributions(cell.oof.where("true_label <> predicted_label"), V.term_counts(docs, V.analyze(F.col("text"))), cell.weights, cell.labels)
+    return V.evidence(found, 5, "sample_id").join(L.margins(found, cell.intercepts), ["sample_id", "label"])
 
 
 # --- generation and reports
