@@ -25,6 +25,7 @@ from .common import small_batches, strings, table, with_schema
 _ESCAPE = re.compile(r"\\|[<\[](?=/?s>|\||/?INST\]|</?SYS>>)")
 _UNESCAPE = re.compile(r"\\(\\?)")
 _SEGMENT = re.compile(r"(<s>)?<\|turn:(.*?)\|>(.*)<\|end\|>(</s>)?", re.S)
+_PLACEHOLDER = re.compile(r"<\|(image|audio|document|other):(\d+)\|>")
 #: Tokens that a placeholder stands for, by the type of its part, unless the part says otherwise.
 EXPANDED = {"image": 256, "audio": 128, "document": 512}
 PART = "struct<type: string, text: string, ref: string, tokens: int>"
@@ -52,24 +53,27 @@ class PartVisitor:
     attachments: list[dict] = field(default_factory=list)
     counts: dict[str, int] = field(default_factory=dict)
 
-    def visit(self, part: dict) -> None:
-        kind = part.get("type") or "text"
-        getattr(self, f"visit_{kind}", self.visit_unknown)(part)
+    def visit(self, part: dict | None) -> None:
+        """A null part is nothing; one without a type is text, one of a type without a visit of its own is `other`."""
+        if part is not None:
+            kind = part.get("type") or "text"
+            (getattr(self, f"visit_{kind}") if kind in ("text", *EXPANDED) else self.visit_other)(part)
 
     def visit_text(self, part: dict) -> None:
         self.out.append(escape(part.get("text") or ""))
 
-    def _attach(self, part: dict) -> None:
-        kind = part["type"]
+    def _attach(self, part: dict, kind: str | None = None) -> None:
+        kind = kind or part["type"]
         self.counts[kind] = self.counts.get(kind, 0) + 1
         tokens = part.get("tokens")
-        self.attachments.append({"ordinal": self.counts[kind], "type": kind, "ref": part.get("ref"), "tokens": EXPANDED[kind] if tokens is None else tokens})
+        self.attachments.append({"ordinal": self.counts[kind], "type": part["type"], "ref": part.get("ref"), "tokens": EXPANDED.get(kind, 0) if tokens is None else tokens})
         self.out.append(f"<|{kind}:{self.counts[kind]}|>")
 
     visit_image = visit_audio = visit_document = _attach
 
-    def visit_unknown(self, part: dict) -> None:
-        raise ValueError(f"unknown content type {part.get('type')!r}")
+    def visit_other(self, part: dict) -> None:
+        """A placeholder `<|other:1|>` of no tokens unless the part says so; the record keeps the part's own type."""
+        self._attach(part, "other")
 
 
 def format_turn(role: str | None, parts: list[dict], first: bool, last: bool) -> tuple[str, int, int, list[dict]]:
@@ -82,8 +86,26 @@ def format_turn(role: str | None, parts: list[dict], first: bool, last: bool) ->
     return head + body + "<|end|>" + ("</s>" if last else ""), len(head), len(body) if role == "assistant" else 0, visitor.attachments
 
 
+def parse_parts(segment: str, attachments: list[dict] | None = None) -> tuple[str, list[dict]]:
+    """Role and typed parts of a segment. Only the visitor's placeholders become parts again, with what the attachments record of
+    them; the same characters inside a text were escaped and stay text. Neighbouring texts come back as one."""
+    m = _SEGMENT.fullmatch(segment)
+    if not m:
+        raise ValueError("not a segment of this template")
+    known = list(attachments or [])
+    parts = []
+    for k, piece in enumerate(_PLACEHOLDER.split(m[3])):
+        if k % 3 == 0:
+            if piece:
+                parts.append({"type": "text", "text": unescape(piece), "ref": None, "tokens": None})
+        elif k % 3 == 1:
+            own = known.pop(0) if known else {"type": piece}
+            parts.append({"type": own["type"], "text": None, "ref": own.get("ref"), "tokens": own.get("tokens")})
+    return unescape(m[2].replace("|\\", "|")), parts
+
+
 def parse_segment(segment: str) -> tuple[str, str]:
-    """Role and text of a segment; placeholders stay as they are."""
+    """Role and text of a segment; placeholders stay as they are (parse_parts tells them from texts)."""
     m = _SEGMENT.fullmatch(segment)
     if not m:
         raise ValueError("not a segment of this template")
@@ -173,7 +195,8 @@ PROBE = "</s>[INST] ok [/INST]"
 
 
 def op4_chat_format(spark, sf_dir: str) -> DataFrame:
-    """All conversations and conversation -1, whose texts are control strings."""
+    """All conversations and conversation -1, whose texts are control strings. Null texts and roles are empty, rows with a null conv_id are
+    one conversation, repeated rows and equal turns are turns each (ordered by role, then text); an empty table leaves conversation -1."""
     rows = with_schema(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
     return read_conversations(format_conversations(rows.unionByName(probe)))

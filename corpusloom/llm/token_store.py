@@ -137,8 +137,24 @@ class TokenFile:
         return [self.tokens(int(i)) for i in np.flatnonzero((self.doc_ids == doc_id) & ~self.nulls)]
 
 
+def qualified(spark, path: str) -> str:
+    """The path with the scheme that Spark reads and writes it by: one without takes that of fs.defaultFS."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri)
+    """The file system of a qualified path and the path there; Hadoop's name for S3 is mapped, schemes that only Hadoop knows are an
+    error rather than another place."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    if scheme in ("s3a", "s3n"):
+        uri = f"s3:{rest}"
+    try:
+        return pafs.FileSystem.from_uri(uri)
+    except (pa.ArrowInvalid, OSError) as e:
+        raise ValueError(f"token files cannot be kept under {uri}: use a folder under file:, s3a: or gs:, or hdfs: with libhdfs") from e
 
 
 def _replace(fs: pafs.FileSystem, source: str, target: str) -> None:
@@ -161,6 +177,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, f
     name of its own and then renamed, so repeated and speculative tasks leave one whole file.
     """
     small_batches(docs.sparkSession)
+    path = qualified(docs.sparkSession, path)
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = _filesystem(path)
@@ -197,7 +214,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, f
 def read_token_files(spark, path: str, manifest: list[tuple[int, str, int, int]]) -> DataFrame:
     """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
     manifest: a row a file, the only thing the driver holds."""
-    before, rows = 0, []
+    path, before, rows = qualified(spark, path), 0, []
     for number, file, n, tokens in sorted(manifest):
         rows.append((number, file, before))
         before += tokens

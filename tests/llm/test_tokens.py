@@ -175,3 +175,21 @@ def test_packing_is_tight(spark):
     docs = spark.createDataFrame([(i, words(20 + i * 37 % 900, i)) for i in range(300)], "doc_id long, text string")
     rows = packing.pack_documents(docs).collect()
     assert check_packing(rows, 2048) <= 1.05 * sum(r["length"] for r in rows) / 2048 + 1
+
+
+def test_paths_are_resolved_as_spark_does(spark, tmp_path):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    assert token_store.qualified(spark, f"file:{tmp_path}/a") == f"file:{tmp_path}/a"
+    try:
+        conf.set("fs.defaultFS", "file:///")
+        assert token_store.qualified(spark, f"{tmp_path}/a") == f"file:{tmp_path}/a"
+        conf.set("fs.defaultFS", "viewfs://cluster/")
+        conf.set("fs.viewfs.mounttable.cluster.link./data", f"file:{tmp_path}")
+        assert token_store.qualified(spark, "/data/a") == "viewfs://cluster/data/a"  # not a folder of this machine
+        with pytest.raises(ValueError, match="token files cannot be kept"):
+            token_store._filesystem(token_store.qualified(spark, "/data/a"))
+        assert token_store._filesystem(token_store.qualified(spark, f"file:{tmp_path}/a"))[1] == f"{tmp_path}/a"
+    finally:
+        conf.set("fs.defaultFS", before)
+    assert token_store._filesystem("s3a://bucket/a")[1] == "bucket/a" and token_store._filesystem("s3a://bucket/a")[0].type_name == "s3"
