@@ -1,5 +1,6 @@
 import io
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -177,7 +178,7 @@ def test_packing_is_tight(spark):
     assert check_packing(rows, 2048) <= 1.05 * sum(r["length"] for r in rows) / 2048 + 1
 
 
-def test_paths_are_resolved_as_spark_does(spark, tmp_path):
+def test_paths_are_resolved_as_spark_does(spark, tmp_path, monkeypatch):
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     before = conf.get("fs.defaultFS")
     assert token_store.qualified(spark, f"file:{tmp_path}/a") == f"file:{tmp_path}/a"
@@ -192,4 +193,5 @@ def test_paths_are_resolved_as_spark_does(spark, tmp_path):
         assert token_store._filesystem(token_store.qualified(spark, f"file:{tmp_path}/a"))[1] == f"{tmp_path}/a"
     finally:
         conf.set("fs.defaultFS", before)
-    assert token_store._filesystem("s3a://bucket/a")[1] == "bucket/a" and token_store._filesystem("s3a://bucket/a")[0].type_name == "s3"
+    monkeypatch.setattr(token_store, "pafs", SimpleNamespace(FileSystem=SimpleNamespace(from_uri=lambda uri: uri)))
+    assert token_store._filesystem("s3a://bucket/a") == "s3://bucket/a"
