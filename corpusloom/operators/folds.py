@@ -9,16 +9,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import written
+
+
+#: A side is broadcast only if it was counted and has no more rows.
+BROADCAST_ROWS = 50_000
+
 
 def seeded(seed, *columns) -> Column:
     """A pseudo-random order that any engine with SHA-256 repeats."""
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns]), 256)
 
 
+def rank_within(keys: DataFrame, by: str, order: list[str], rank: str = "rank") -> DataFrame:
+    """keys with the rank, from 1, of each row among those of its `by` in the order given, without one task for each value of `by`.
+
+    Rows are range-partitioned by (by, order) and written; a row's rank is its place among its partition's rows of the same value plus
+    the counts of the partitions before, one row for each partition and value that it holds. Null is a value.
+    """
+    spark = keys.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    ranged = written(keys.repartitionByRange(parts, by, *order).withColumn("__part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy(by, "__part").agg(F.count("*").alias("__n"))  # at most partitions + values rows
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy(by, "__part").orderBy(*order))
+    placed = ranged.withColumn("__own", own)
+    before = before.select(F.col(by).alias("__by"), F.col("__part").alias("__p"), "__before")
+    return placed.join(before, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__part") == F.col("__p"))).select(*keys.columns, (F.col("__own") + F.col("__before")).alias(rank))
+
+
 def stratified_folds(df: DataFrame, k: int = 5, seed: int = 42, label: str = "label") -> DataFrame:
-    """df with fold_id: within each label the seeded order, dealt round."""
-    w = Window.partitionBy(label).orderBy(seeded(seed, "id"), "id")
-    return df.withColumn("fold_id", ((F.row_number().over(w) - 1) % k).cast("int"))
+    """df with fold_id: within each label the seeded order, dealt round. Only ids and labels are ranked; rows that share an id share its
+    fold (that of its least label), so that no copy of a sample is trained on."""
+    ids = df.groupBy("id").agg(F.min(label).alias("__label")).withColumn("__order", seeded(seed, "id"))
+    ranked = rank_within(ids, "__label", ["__order", "id"], "__rank").select(F.col("id").alias("__id"), ((F.col("__rank") - 1) % k).cast("int").alias("fold_id"))
+    return df.join(ranked, F.col("id").eqNullSafe(F.col("__id"))).drop("__id")
 
 
 def assign_groups(counts: dict[str, dict[str, int]], k: int, seed: int) -> dict[str, int]:
@@ -54,7 +79,8 @@ def grouped_folds(df: DataFrame, k: int = 5, seed: int = 42, max_groups: int = 1
     for g, x, n in cells.collect():
         counts[g][x] = n
     rows = sorted(assign_groups(counts, k, seed).items())
-    return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, "template_group string, fold_id int")), "template_group")
+    folds = df.sparkSession.createDataFrame(rows, "template_group string, fold_id int")
+    return df.join(F.broadcast(folds) if len(rows) <= BROADCAST_ROWS else folds, "template_group")
 
 
 def fold_records(assigned: DataFrame, k: int) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import safe_divide
+from ..functions.stats import nearest_rank, safe_divide
 
 CELL = ["condition", "model"]
 
@@ -70,13 +74,20 @@ def best_cell(summary: DataFrame, metric: str = "macro_f1") -> DataFrame:
 
 
 def required_metrics(metrics: DataFrame, labels: list[str]) -> DataFrame:
-    """Accuracy, macro precision, macro recall and macro F1 of each cell; an error where one is missing."""
+    """Accuracy, macro precision, macro recall, macro F1 and weighted F1 of each cell, means over its folds; an error that names the cell
+    where a metric of the cell, or the precision or recall of one label, is missing."""
+    whole = ["accuracy", "macro_f1", "weighted_f1"]
+    needed = [*whole, *[f"{m}_{x}" for m in ("precision", "recall") for x in labels]]
     pick = lambda names: F.avg(F.when(F.col("metric").isin(names), F.col("value")))
     found = metrics.groupBy(*CELL).agg(
-        pick(["accuracy"]).alias("accuracy"), pick([f"precision_{x}" for x in labels]).alias("macro_precision"), pick([f"recall_{x}" for x in labels]).alias("macro_recall"), pick(["macro_f1"]).alias("macro_f1")
-    )
-    lost = F.raise_error(F.lit("a required metric is missing")).cast("double")
-    return found.select(*CELL, *[F.coalesce(F.col(c), lost).alias(c) for c in ("accuracy", "macro_precision", "macro_recall", "macro_f1")])
+        pick(["accuracy"]).alias("accuracy"), pick([f"precision_{x}" for x in labels]).alias("macro_precision"), pick([f"recall_{x}" for x in labels]).alias("macro_recall"),
+        pick(["macro_f1"]).alias("macro_f1"), pick(["weighted_f1"]).alias("weighted_f1"),
+        F.collect_set(F.when(F.col("value").isNotNull() & F.col("metric").isin(needed), F.col("metric"))).alias("seen"),
+    )
+    absent = F.array_except(F.array(*map(F.lit, needed)), "seen")
+    lost = F.raise_error(F.concat(F.lit("required metrics are missing in "), *[F.concat(F.coalesce(F.col(c), F.lit("null")), F.lit(" ")) for c in CELL], F.array_join(absent, ", "))).cast("double")
+    checked = lambda c: F.when(F.size(absent) > 0, lost).otherwise(F.col(c)).alias(c)
+    return found.select(*CELL, *[checked(c) for c in ("accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_f1")])
 
 
 def external_summary(folds: DataFrame, metrics: list[str]) -> DataFrame:
@@ -96,36 +107,48 @@ def group_agreement(left: DataFrame, right: DataFrame, threshold: float = 0.5) -
     return both.agg(F.count_if(a & b).alias("both_high"), F.count_if(a & ~b).alias("left_only"), F.count_if(~a & b).alias("right_only"), F.count_if(~a & ~b).alias("both_low"))
 
 
-def bootstrap_macro_f1(base: DataFrame, other: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
-    """Paired bootstrap over samples of the macro F1 difference (other - base) of two tables (sample_id, true_label,
-    predicted_label): observed, mean, ends of the 95 % interval, share at or below 0.
+def paired_cells(base: DataFrame, other: DataFrame) -> DataFrame:
+    """(true_label, p0, p1, n): shared samples of two tables (sample_id, true_label, predicted_label) by what both predicted."""
+    both = base.select("sample_id", "true_label", F.col("predicted_label").alias("p0")).join(other.select("sample_id", F.col("predicted_label").alias("p1")), "sample_id")
+    return both.groupBy("true_label", "p0", "p1").agg(F.count("*").alias("n"))
+
+
+def bootstrap_macro_f1(base: DataFrame, other: DataFrame, replicates: int, seed: int = 42, max_cells: int = 1_000_000) -> DataFrame:
+    """Paired bootstrap over samples of the macro F1 difference (other - base) of two tables (sample_id, true_label, predicted_label):
+    observed, mean, ends of the 95 % interval (nearest ranks), share at or below 0.
 
-    A replicate draws as many samples as there are, each place by a seeded hash. What a draw adds is counted by
-    (replicate, label) at once, so n x replicates rows are streamed and never kept. Labels are the true ones.
+    Drawing n of n samples with replacement is one multinomial draw over the cells (true label, both predictions), which are all that
+    a score needs: labels cubed at most, however many samples there are. Replicates are dealt over tasks, each with a generator of its
+    own number. Labels are the true ones; rows with a null label or prediction count as a label of their own.
     """
-    both = base.select("sample_id", "true_label", F.col("predicted_label").alias("p0")).join(other.select("sample_id", F.col("predicted_label").alias("p1")), "sample_id")
-    total = both.count()
-    if not total:
+    cells = paired_cells(base, other).fillna("").orderBy("true_label", "p0", "p1")
+    rows = cells.limit(max_cells + 1).collect()
+    if not rows:
         raise ValueError("no shared samples")
-    from pyspark.sql.window import Window
+    if len(rows) > max_cells:
+        raise ValueError(f"more than {max_cells} combinations of labels")
+    names = sorted({x for r in rows for x in r[:3]})
+    number = {x: i for i, x in enumerate(names)}
+    t, p0, p1 = (np.array([number[r[i]] for r in rows]) for i in range(3))
+    n, truth = np.array([r["n"] for r in rows], np.int64), sorted(set(t.tolist()))
+
+    def difference(weights: np.ndarray) -> np.ndarray:
+        """Of each row of cell weights."""
+        def total(at: np.ndarray, w: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(w), len(names)))
+            np.add.at(out.T, at, w.T)
+            return out
+        def macro(p: np.ndarray) -> np.ndarray:
+            size = total(t, weights) + total(p, weights)
+            hit = total(t, weights * (t == p))
+            return np.divide(2 * hit, size, out=np.zeros_like(hit), where=size > 0)[:, truth].mean(axis=1)
+        return macro(p1) - macro(p0)
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            drawn = np.stack([np.random.default_rng([seed, r]).multinomial(n.sum(), n / n.sum()) for r in frame["id"]]) if len(frame) else np.zeros((0, len(n)), np.int64)
+            yield pd.DataFrame({"d": difference(drawn)})
 
-    ranked = both.withColumn("place", F.row_number().over(Window.orderBy("sample_id")) - 1)
-    draw = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("r").cast("string"), F.col("i").cast("string")), 256), 1, 15), 16, 10).cast("long"), F.lit(total))
     spark = base.sparkSession
-    draws = spark.range(replicates).select(F.col("id").alias("r")).repartition(min(replicates, 64), "r").select("r", F.explode(F.sequence(F.lit(0), F.lit(total - 1))).alias("i")).select("r", draw.alias("place"))
-    weights = draws.groupBy("r", "place").agg(F.count("*").alias("w")).unionByName(spark.range(total).select(F.lit(-1).cast("long").alias("r"), F.col("id").alias("place"), F.lit(1).cast("long").alias("w")))
-    rows = weights.join(ranked.select("place", "true_label", "p0", "p1"), "place")
-    long = rows.select("r", "w", F.explode(F.array(
-        *[F.struct(F.lit(s).alias("side"), F.col("true_label").alias("label"), F.lit(1).alias("s"), F.lit(0).alias("p"), (F.col("true_label") == F.col(f"p{s}")).cast("int").alias("t")) for s in (0, 1)],
-        *[F.struct(F.lit(s).alias("side"), F.col(f"p{s}").alias("label"), F.lit(0).alias("s"), F.lit(1).alias("p"), F.lit(0).alias("t")) for s in (0, 1)],
-    )).alias("x")).select("r", "w", "x.*")
-    cells = long.groupBy("r", "side", "label").agg(F.sum(F.col("w") * F.col("s")).alias("s"), F.sum(F.col("w") * F.col("p")).alias("p"), F.sum(F.col("w") * F.col("t")).alias("t"))
-    labels = both.select(F.col("true_label").alias("label")).distinct()
-    k = labels.agg(F.count("*").alias("k"))
-    scores = cells.join(F.broadcast(labels), "label").groupBy("r").pivot("side", [0, 1]).agg(F.sum(safe_divide(2 * F.col("t"), F.col("s") + F.col("p"))))
-    d = scores.crossJoin(F.broadcast(k)).select("r", ((F.coalesce("1", F.lit(0.0)) - F.coalesce("0", F.lit(0.0))) / F.col("k")).alias("d"))
-    observed = d.where("r = -1").select(F.col("d").alias("observed"))
-    drawn = d.where("r >= 0").agg(F.avg("d").alias("mean"), F.array_sort(F.collect_list("d")).alias("v"), F.avg((F.col("d") <= 0).cast("double")).alias("share_not_better"))
-    from ..functions.stats import nearest_rank
-
-    return observed.crossJoin(drawn).select("observed", "mean", nearest_rank(F.col("v"), 0.025).alias("low"), nearest_rank(F.col("v"), 0.975).alias("high"), "share_not_better")
+    drawn = spark.range(replicates).mapInPandas(run, "d double").agg(F.avg("d").alias("mean"), F.array_sort(F.collect_list("d")).alias("v"), F.avg((F.col("d") <= 0).cast("double")).alias("share_not_better"))
+    return drawn.select(F.lit(float(difference(n[None, :])[0])).alias("observed"), "mean", nearest_rank(F.col("v"), 0.025).alias("low"), nearest_rank(F.col("v"), 0.975).alias("high"), "share_not_better")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..sources.scratch import written
 from ..functions.stats import share_text
 
 FINDING = ["severity", "category", "feature", "labels", "count", "record_ids", "details"]
@@ -205,6 +206,35 @@ def spot_review(df: DataFrame) -> DataFrame:
     return marked.groupBy("template_group").agg(F.min_by("id", F.struct("order", "id")).alias("id"), F.min("order").alias("order")).select("template_group", "id", F.element_at(F.array(F.lit("shortest"), F.lit("longest"), F.lit("group")), F.col("order") + 1).alias("reason"))
 
 
+def covering_review(df: DataFrame, records: DataFrame, finding: list[str], max_rounds: int = 1000) -> DataFrame:
+    """(template_group, id, reason): one record for each group, chosen so that findings are seen in a review.
+
+    records: rows (finding columns, id) of the records behind findings. Greedy in rounds, all groups at once: every finding without a
+    chosen record nominates the record that has most such findings, ties by id; every group without a record takes the best nominated
+    one, ties by id. That goes on until no finding without a record has one in a group that is still free, so each finding that any
+    free group could show is shown. The groups left take the record that spot_review has for them. Repeated rows count once; rows
+    without a group are a group; null ids are left out.
+    """
+    rows = df.where("id IS NOT NULL").groupBy("id").agg(F.min("template_group").alias("template_group"))
+    pairs = records.select("id", F.sha2(F.to_json(F.struct(*finding)), 256).alias("f")).distinct()
+    open_pairs = written(pairs.join(rows, "id").select("id", "f", F.coalesce("template_group", F.lit("")).alias("g")), "open-findings")
+    chosen = written(open_pairs.select("g", "id").limit(0), "chosen")
+    for _ in range(max_rounds):
+        gain = open_pairs.groupBy("id").agg(F.count("*").alias("n"))
+        best = open_pairs.join(gain, "id").groupBy("f").agg(F.min(F.struct((-F.col("n")).alias("n"), "id", "g")).alias("b"))
+        taken = written(best.select("b.*").distinct().groupBy("g").agg(F.min(F.struct("n", "id")).alias("b")).select("g", F.col("b.id").alias("id")), "taken")
+        if taken.isEmpty():
+            break
+        chosen = written(chosen.unionByName(taken), "chosen")
+        seen = open_pairs.join(taken.select("id"), "id", "left_semi").select("f").distinct()
+        open_pairs = written(open_pairs.join(seen, "f", "left_anti").join(taken.select("g"), "g", "left_anti"), "open-findings")
+    else:
+        raise ValueError(f"findings are left after {max_rounds} rounds")
+    base = spot_review(df.where("id IS NOT NULL")).withColumn("g", F.coalesce("template_group", F.lit("")))
+    found = chosen.withColumnRenamed("id", "own")
+    return base.join(found, "g", "left").select("template_group", F.coalesce("own", "id").alias("id"), F.when(F.col("own").isNotNull() & (F.col("own") != F.col("id")), "finding").when(F.col("own").isNotNull(), F.concat("reason", F.lit("|finding"))).otherwise(F.col("reason")).alias("reason"))
+
+
 def compare_flag_ratios(population: DataFrame, misclassified: DataFrame, flags=FLAGS) -> DataFrame:
     """(flag, share in the population, share among misclassified, z): pooled two-proportion statistic."""
     from ..functions.stats import two_proportion_z

@@ -272,6 +272,14 @@ def spot_review(spark, d):
     return Q.spot_review(mails(spark, d))
 
 
+@query()
+def covering_spot_review(spark, d):
+    """One document a group, so that the findings of the audit are seen."""
+    m = _sourced(spark, d)
+    findings = U.leakage(m, ["idiot", "license"], _THRESHOLDS).where("category NOT IN ('class_specific_token', 'class_specific_bigram')")
+    return Q.covering_review(m, U.finding_records(m, findings, ["idiot", "license"]), ["category", "feature", "record_id"])
+
+
 @query(f"WITH {MAILS_SQL}, {OOF_SQL}, p AS (UNPIVOT (SELECT has_header, has_signature, has_quoted_reply FROM mails) ON has_header, has_signature, has_quoted_reply INTO NAME flag VALUE v), e AS (UNPIVOT (SELECT has_header, has_signature, has_quoted_reply FROM oof JOIN mails ON sample_id = id WHERE true_label <> predicted_label) ON has_header, has_signature, has_quoted_reply INTO NAME flag VALUE v), a AS (SELECT flag, count(*)::DOUBLE AS n1, count(*) FILTER (v)::DOUBLE AS x1 FROM p GROUP BY 1), b AS (SELECT flag, count(*)::DOUBLE AS n2, count(*) FILTER (v)::DOUBLE AS x2 FROM e GROUP BY 1) SELECT flag, round(x1 / n1, 6) AS population_share, round(x2 / n2, 6) AS misclassified_share, round((x2 / n2 - x1 / n1) / sqrt((x1 + x2) / (n1 + n2) * (1 - (x1 + x2) / (n1 + n2)) * (1 / n1 + 1 / n2)), 6) AS z FROM a JOIN b USING (flag)")
 def structural_ratio(spark, d):
     m = mails(spark, d)
@@ -336,6 +344,42 @@ def prediction_alignment(spark, d):
     return A.alignment(p, K.fold_records(_folds(spark, d), 5))
 
 
+_ROWS = lambda *cols: "sha256(concat_ws(chr(31), " + ", ".join(f"coalesce('=' || CAST({c} AS VARCHAR), '')" for c in cols) + "))"
+_TABLE_HASH = lambda table, *cols: (
+    "SELECT count(*) AS n, " + " || ".join(f"lpad(lower(to_hex(CAST(coalesce(sum(CAST(('0x' || substr(h, {at}, 16)) AS UBIGINT)::HUGEINT), 0) % 18446744073709551616::HUGEINT AS UBIGINT))), 16, '0')" for at in (1, 17))
+    + f" AS table_hash FROM (SELECT {_ROWS(*cols)} AS h FROM {table})"
+)
+
+
+@query(_TABLE_HASH("documents", "doc_id", "text", "lang", "source"))
+def corpus_hash(spark, d):
+    """Rows of documents and the hash of their multiset."""
+    return A.table_hash(table(spark, d, "documents"), ["doc_id", "text", "lang", "source"])
+
+
+@query(f"""WITH {MAILS_SQL}, {_FOLDS}, p AS (SELECT doc_id + CASE WHEN doc_id % 50 = 7 THEN 1000000 ELSE 0 END AS sample_id, CAST((doc_id + 1) % 5 AS INTEGER) AS fold_id, lang AS label FROM documents UNION ALL SELECT doc_id, CAST((doc_id + 1) % 5 AS INTEGER), 'en' FROM documents WHERE doc_id % 90 = 3),
+b AS (SELECT coalesce(p.sample_id, f.id) AS id, f.id IS NULL AS u, p.sample_id IS NULL AS m, p.fold_id, f.fold_id AS f, p.label, f.label AS l FROM p FULL JOIN folds f ON f.id = p.sample_id),
+o AS (SELECT id, 'unknown_id' AS k FROM b WHERE u UNION ALL SELECT id, 'missing_id' FROM b WHERE m UNION ALL SELECT id, 'other_fold' FROM b WHERE NOT u AND NOT m AND fold_id <> f UNION ALL SELECT id, 'other_label' FROM b WHERE NOT u AND NOT m AND label <> l UNION ALL SELECT sample_id, 'repeated_id' FROM p GROUP BY 1 HAVING count(*) > 1)
+SELECT k AS check, count(*) AS n, array_to_string(list_sort(list_distinct(list(id)))[1:5], ',') AS first_ids FROM o GROUP BY k""")
+def alignment_report(spark, d):
+    """An external table with lost, unknown, repeated and moved rows."""
+    i, docs = F.col("doc_id"), table(spark, d, "documents")
+    own = docs.select((i + F.when(i % 50 == 7, 1000000).otherwise(0)).alias("sample_id"), ((i + 1) % 5).cast("int").alias("fold_id"), F.col("lang").alias("label"))
+    more = docs.where(i % 90 == 3).select(i.alias("sample_id"), ((i + 1) % 5).cast("int").alias("fold_id"), F.lit("en").alias("label"))
+    return A.alignment_report(own.unionByName(more), K.fold_records(_folds(spark, d), 5))
+
+
+@query(f"""WITH {OOF_SQL}, o AS (SELECT * FROM oof WHERE condition = 'D1' AND model = 'linear_svc'), n AS (SELECT count(*) AS n FROM documents), c AS (SELECT max(k) - min(k) AS spread FROM (SELECT count(*) AS k FROM documents GROUP BY lang)), m AS (SELECT avg(a) AS a FROM (SELECT avg((true_label = predicted_label)::INT::DOUBLE) AS a FROM o GROUP BY fold_id)), p AS (SELECT avg((true_label = predicted_label)::INT::DOUBLE) AS a FROM o)
+SELECT unnest(['row_count', 'no_duplicate_ids', 'no_missing_ids', 'class_counts', 'confusion_sum', 'fold_sizes_sum', 'fold_hash', 'same_ids', 'unit_interval', 'fold_mean_accuracy', 'pooled_accuracy']) AS check, unnest([true, true, true, true, true, true, true, true, true, NULL, NULL]) AS passed, unnest([n.n::DOUBLE, 0, 0, spread::DOUBLE, n.n, n.n, NULL, 0, 0, round(m.a, 6), round(p.a, 6)]) AS value FROM n, c, m, p""")
+def independent_metric_audit(spark, d):
+    """Nine checks of one cell's predictions and both averages."""
+    o = oof(spark, d).where("condition = 'D1' AND model = 'linear_svc'")
+    folds = K.fold_records(o.select(F.col("sample_id").alias("id"), F.col("true_label").alias("label"), F.lit("g").alias("template_group"), "fold_id"), 5)
+    sizes = o.groupBy("fold_id").agg(F.count("*").alias("n_val"), F.avg((F.col("true_label") == F.col("predicted_label")).cast("double")).alias("accuracy"))
+    made_for = A.table_hash(o, ["sample_id", "fold_id"]).first()["table_hash"]
+    return rounded(A.independent_audit(o, sizes, folds, table(spark, d, "documents").count(), None, made_for))
+
+
 # --- metrics
 
 
@@ -369,7 +413,7 @@ def best_cell(spark, d):
     return rounded(M.best_cell(M.cv_summary(M.metrics_long(oof(spark, d)))))
 
 
-@query(f"WITH {OOF_SQL}, {METRICS_SQL} SELECT condition, model, round(avg(value) FILTER (metric = 'accuracy'), 6) AS accuracy, round(avg(value) FILTER (metric LIKE 'precision%'), 6) AS macro_precision, round(avg(value) FILTER (metric LIKE 'recall%'), 6) AS macro_recall, round(avg(value) FILTER (metric = 'macro_f1'), 6) AS macro_f1 FROM ml GROUP BY ALL")
+@query(f"WITH {OOF_SQL}, {METRICS_SQL} SELECT condition, model, round(avg(value) FILTER (metric = 'accuracy'), 6) AS accuracy, round(avg(value) FILTER (metric LIKE 'precision%'), 6) AS macro_precision, round(avg(value) FILTER (metric LIKE 'recall%'), 6) AS macro_recall, round(avg(value) FILTER (metric = 'macro_f1'), 6) AS macro_f1, round(avg(value) FILTER (metric = 'weighted_f1'), 6) AS weighted_f1 FROM ml GROUP BY ALL")
 def required_metrics(spark, d):
     return rounded(M.required_metrics(M.metrics_long(oof(spark, d)), list(LABELS)))
 
@@ -728,18 +772,32 @@ def external_model_summary(spark, d):
     return rounded(M.external_summary(wide, ["accuracy", "macro_f1"]))
 
 
-@query("WITH m AS (SELECT doc_id, lang AS label, 'from=user@' || source || '-' || lang || '.org' AS f, 'sender_domain=' || source || '-' || lang || '.org' AS g, 'subject=note ' || source AS h FROM documents), l AS (SELECT label, unnest([f, g, h]) AS feature FROM m) SELECT feature, min(label) AS labels, count(*) AS count FROM l GROUP BY feature HAVING count(*) >= 2 AND count(DISTINCT label) = 1")
+_HEADERS = """h AS (SELECT doc_id, lang AS label, unnest(regexp_extract_all('From: user@' || source || '-' || lang || '.org' || chr(10) || 'Subject: note ' || source || chr(10) || chr(10) || coalesce(text, ''),
+  '(?im)^((?:from|subject):[^\\n]*)', 1)) AS line FROM documents),
+v AS (SELECT label, lower(split_part(line, ':', 1)) AS name, trim(regexp_replace(line, '^[^:]*:', '')) AS value FROM h),
+l AS (SELECT label, name || '=' || value AS feature FROM v UNION ALL SELECT label, 'sender_domain=' || string_split(value, '@')[-1] FROM v WHERE name = 'from' AND contains(value, '@'))"""
+
+
+@query(f"WITH {_HEADERS} SELECT feature, min(label) AS labels, count(*) AS count FROM l GROUP BY feature HAVING count(*) >= 2 AND count(DISTINCT label) = 1")
 def leak_header_features(spark, d):
-    """Headers written in front of every document."""
-    head = F.concat(F.lit("From: user@"), F.col("source"), F.lit("-"), F.col("lang"), F.lit(".org\nSubject: note "), F.col("source"), F.lit("\n\n"))
+    """Headers written in front of every document, and those that its text has."""
+    head = F.concat(F.lit("From: user@"), F.col("source"), F.lit("-"), F.col("lang"), F.lit(".org\nSubject: note "), F.col("source"), F.lit("\n\n"), F.coalesce("text", F.lit("")))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), head.alias("raw_text"))
     return Q.header_features(docs, 2)
 
 
-@query()
+_JA = {
+    "multi_intent": "multi_intent", "ambiguous_difficulty": _AMB, "structural_content": _STR, "negation_present": "contains_negation",
+    "orthographic_variation": f"contains(body_text, '{E.ORTHOGRAPHIC}') OR (regexp_matches(body_text, '{E.FULL_WIDTH}') AND regexp_matches(body_text, '{E.HALF_WIDTH}'))",
+    "mixed_ja_en": f"regexp_matches(body_text, '{E.LATIN_RUN}') AND regexp_matches(body_text, '{E.JAPANESE}')", "morphological_segmentation": f"regexp_matches(body_text, '{E.GLUED}')",
+}
+_JA_LONG = " UNION ALL ".join(f"SELECT condition, model, '{k}' AS category FROM e WHERE {v}" for k, v in _JA.items()) + f" UNION ALL SELECT condition, model, 'uncategorized' FROM e WHERE NOT ({' OR '.join(f'coalesce({v}, false)' for v in _JA.values())})"
+
+
+@query(f"WITH {MAILS_SQL}, {OOF_SQL}, {_ERR}, l AS ({_JA_LONG}), t AS (SELECT condition, model, count(*) AS n FROM e GROUP BY ALL) SELECT condition, model, category, count(*) AS count, round(count(*)::DOUBLE / any_value(n), 6) AS share_of_misclassified FROM l JOIN t USING (condition, model) GROUP BY ALL")
 def japanese_error_categories(spark, d):
-    m = mails(spark, d).withColumn("contains_negation", F.lit(False)).withColumnRenamed("id", "sample_id")
-    return E.overlap_counts(E.with_categories(E.misclassified(oof(spark, d), m), ja=True))
+    m = mails(spark, d).withColumn("contains_negation", X.contains_any("raw_text", X.NEGATIONS)).withColumnRenamed("id", "sample_id")
+    return rounded(E.overlap_counts(E.with_categories(E.misclassified(oof(spark, d), m), ja=True)))
 
 
 @query()
