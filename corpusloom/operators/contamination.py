@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions.stats import mcnemar_statistic, safe_divide
+from ..sources.scratch import few, written
 from .errors import must_match
 from .folds import seeded
 
@@ -69,7 +70,7 @@ def _dealt(seed: int, what: str, items: list[Column]) -> Column:
 def contaminate(df: DataFrame, assigned: DataFrame, sentences: DataFrame, levels=LEVELS) -> DataFrame:
     """The corpus at every level: id, contamination_level, body_text, raw_text, contaminated. Rows at C0 are unchanged.
     sentences: subtopic, variant_id, text."""
-    planned = assigned.join(F.broadcast(sentences.withColumnRenamed("text", "sentence")), (F.col("subtopic_label") == F.col("subtopic")) & (assigned["variant_id"] == sentences["variant_id"]), "left").select("sample_id", "min_level", "insertion_position", "sentence")
+    planned = assigned.join(few(sentences.withColumnRenamed("text", "sentence")), (F.col("subtopic_label") == F.col("subtopic")) & (assigned["variant_id"] == sentences["variant_id"]), "left").select("sample_id", "min_level", "insertion_position", "sentence")
     rows = df.join(planned, df["id"] == planned["sample_id"], "left").withColumn("contamination_level", F.explode(F.array(*map(F.lit, levels))))
     hit = applies_at(F.col("contamination_level"), F.col("min_level"))
     body = F.when(hit, X.insert_paragraph("body_text", F.col("sentence"), F.col("insertion_position"))).otherwise(F.col("body_text"))
@@ -145,6 +146,53 @@ def condition_statistics(assigned: DataFrame, levels=LEVELS) -> DataFrame:
     return long.groupBy("level", F.col("x.category").alias("category"), F.col("x.key").alias("key")).agg(F.count("*").cast("double").alias("value"))
 
 
+STATISTICS = (
+    "total_count", "class_counts", "difficulty_counts", "template_group_counts", "duplicates", "near_duplicates", "contamination_rate", "main_subtopic_pairs", "insertion_position",
+    "sentence_usage", "style_usage",
+)
+
+
+def level_statistics(df: DataFrame, assigned: DataFrame, sentences: DataFrame, levels=LEVELS, near_duplicates: bool = True) -> DataFrame:
+    """(level, category, key, value) of every level of the corpus df, the categories being STATISTICS: rows, classes, difficulties, groups;
+    groups of equal and of normalized texts; similar pairs at the default threshold, if wanted; the share contaminated, pairs of topics,
+    places, sentences and styles. A key without rows has none, but duplicates and the rate are always told."""
+    from .neardup import exact_summary
+    from .quality import duplicate_records
+
+    long = lambda rows, level: rows.select(F.lit(level).alias("level"), "category", F.col("key").cast("string").alias("key"), F.col("value").cast("double").alias("value"))
+    total = df.count()
+    kinds = {"total_count": F.lit("total_count"), "class_counts": F.col("label"), "difficulty_counts": F.col("difficulty"), "template_group_counts": F.col("template_group")}
+    marks = F.explode(F.array(*[F.struct(F.lit(k).alias("category"), v.cast("string").alias("key")) for k, v in kinds.items()])).alias("x")
+    plain = written(df.select(marks).where("x.key IS NOT NULL").groupBy("x.category", "x.key").agg(F.count("*").alias("value")).select("category", "key", "value"), "plain-counts")
+    rows = df.join(few(assigned.select(F.col("sample_id").alias("id"), "main_label", "subtopic_label", "min_level", "insertion_position", "variant_id")), "id", "left")
+    rows = rows.join(few(sentences.select(F.col("subtopic").alias("subtopic_label"), "variant_id", "style")), ["subtopic_label", "variant_id"], "left")
+    used = written(rows.where("min_level IS NOT NULL").select("main_label", "subtopic_label", "min_level", "insertion_position", "variant_id", "style"), "contaminated")
+    own = {
+        "main_subtopic_pairs": F.concat_ws("|", "main_label", "subtopic_label"), "insertion_position": F.col("insertion_position"),
+        "sentence_usage": F.concat("subtopic_label", F.lit("|variant"), F.col("variant_id").cast("string")), "style_usage": F.col("style"),
+    }
+    out = None
+    for level in levels:
+        hit = used.where(applies_at(F.lit(level), F.col("min_level")))
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("category"), v.alias("key")) for k, v in own.items()])).alias("x")
+        counted = hit.select(each).where("x.key IS NOT NULL").groupBy("x.category", "x.key").agg(F.count("*").alias("value"))
+        rate = hit.agg(F.count("*").alias("contaminated_count")).withColumn("contaminated_ratio", F.col("contaminated_count") / F.lit(max(total, 1))).select(F.col("contaminated_count").cast("double").alias("contaminated_count"), "contaminated_ratio")
+        made = contaminate(df, assigned, sentences, (level,))
+        texts = written(df.drop("raw_text", "body_text").join(made.select("id", "raw_text", "body_text"), "id"), f"texts-{level}")
+        same = duplicate_records(texts).select("match_type", "source_field", "canonical_sha256").distinct()
+        twins = same.agg(*[F.count_if(F.col("match_type") == k).cast("double").alias(f"{k}_group_count") for k in ("exact", "normalized")])
+        parts = [(plain, None), (counted, None), (rate, "contamination_rate"), (twins, "duplicates")]
+        if near_duplicates:
+            summary = exact_summary(texts)
+            parts.append((summary.select(*[F.col(c).cast("double").alias(c) for c in summary.columns]), "near_duplicates"))
+        for part, category in parts:
+            if category:
+                part = part.unpivot([], part.columns, "key", "value").withColumn("category", F.lit(category))
+            part = long(part, level)
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def usage_skew(assigned: DataFrame, factor: float = 2.5) -> DataFrame:
     """Sentences used more than factor times as often as an even use of their subtopic's would have it."""
     used = assigned.groupBy("subtopic_label", "variant_id").agg(F.count("*").alias("n"))
@@ -155,7 +203,7 @@ def usage_skew(assigned: DataFrame, factor: float = 2.5) -> DataFrame:
 def review_flags(assigned: DataFrame, records: DataFrame, sentences: DataFrame) -> DataFrame:
     """(sample_id, flags): terse sentences in hard or ambiguous mails, and mails with more than one intent."""
     rows = must_match(assigned, records.select(F.col("id").alias("sample_id"), "multi_intent"), "sample_id")
-    rows = rows.join(F.broadcast(sentences.select(F.col("subtopic").alias("subtopic_label"), "variant_id", "style")), ["subtopic_label", "variant_id"], "left")
+    rows = rows.join(few(sentences.select(F.col("subtopic").alias("subtopic_label"), "variant_id", "style")), ["subtopic_label", "variant_id"], "left")
     terse = F.when(F.col("style").isin("fact", "concise") & F.col("difficulty").isin("hard", "ambiguous"), "terse_in_hard")
     return rows.select("sample_id", F.concat_ws("|", terse, F.when(F.col("multi_intent"), "multi_intent")).alias("flags")).where("flags <> ''")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..sources.scratch import few
 
 WORDS = r"[\p{L}\p{N}_]{2,}"
 
@@ -59,7 +60,7 @@ def contributions(weights: DataFrame, coefficients: DataFrame, key: str = "id")
 
 def decision_scores(weights: DataFrame, coefficients: DataFrame, intercepts: DataFrame, key: str = "id") -> DataFrame:
     """(key, label, score) of every document and class."""
-    return contributions(weights, coefficients, key).groupBy(key, "label").agg(F.sum("contribution").alias("s")).join(F.broadcast(intercepts), "label").select(key, "label", (F.col("s") + F.col("intercept")).alias("score"))
+    return contributions(weights, coefficients, key).groupBy(key, "label").agg(F.sum("contribution").alias("s")).join(few(intercepts), "label").select(key, "label", (F.col("s") + F.col("intercept")).alias("score"))
 
 
 def evidence(contribs: DataFrame, n: int, key: str = "id") -> DataFrame:

@@ -9,11 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.scratch import written
-
-
-#: A side is broadcast only if it was counted and has no more rows.
-BROADCAST_ROWS = 50_000
+from ..sources.scratch import BROADCAST_ROWS, written
 
 
 def seeded(seed, *columns) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -717,6 +718,35 @@ def condition_statistics(spark, d):
     return C.condition_statistics(_assigned(spark, d))
 
 
+_STYLES = "CASE variant_id % 6 WHEN 0 THEN 'fact' WHEN 1 THEN 'concise' WHEN 2 THEN 'polite' WHEN 3 THEN 'casual' WHEN 4 THEN 'question' ELSE 'story' END"
+_LEVEL_STATS = f"""lv AS (SELECT * FROM (VALUES ('C0'), ('C10'), ('C20'), ('C30')) AS t(contamination_level)),
+hit AS (SELECT * FROM assigned, lv WHERE contamination_level <> 'C0' AND {_APPLIES}),
+st AS (SELECT contamination_level, 'total_count' AS category, 'total_count' AS key, (SELECT count(*) FROM mails)::DOUBLE AS value FROM lv
+  UNION ALL SELECT contamination_level, 'class_counts', label, count(*) FROM mails, lv WHERE label IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT contamination_level, 'difficulty_counts', difficulty, count(*) FROM mails, lv GROUP BY ALL
+  UNION ALL SELECT contamination_level, 'template_group_counts', template_group, count(*) FROM mails, lv GROUP BY ALL
+  UNION ALL SELECT contamination_level, 'main_subtopic_pairs', main_label || '|' || subtopic_label, count(*) FROM hit GROUP BY ALL
+  UNION ALL SELECT contamination_level, 'insertion_position', insertion_position, count(*) FROM hit GROUP BY ALL
+  UNION ALL SELECT contamination_level, 'sentence_usage', subtopic_label || '|variant' || variant_id, count(*) FROM hit GROUP BY ALL
+  UNION ALL SELECT contamination_level, 'style_usage', {_STYLES}, count(*) FROM hit GROUP BY ALL
+  UNION ALL SELECT lv.contamination_level, 'contamination_rate', 'contaminated_count', count(h.sample_id) FROM lv LEFT JOIN hit h USING (contamination_level) GROUP BY ALL
+  UNION ALL SELECT lv.contamination_level, 'contamination_rate', 'contaminated_ratio', count(h.sample_id)::DOUBLE / (SELECT count(*) FROM mails) FROM lv LEFT JOIN hit h USING (contamination_level) GROUP BY ALL)"""
+
+
+@query(f"WITH {MAILS_SQL}, {_ASSIGN}, {_LEVEL_STATS} SELECT contamination_level AS level, category, key, round(value, 6) AS value FROM st")
+def level_statistics(spark, d):
+    """All categories but those that compare texts, which level_text_statistics has."""
+    made = C.level_statistics(mails(spark, d), _assigned(spark, d), D.sentences(spark), near_duplicates=False)
+    return rounded(made.where("category <> 'duplicates'"))
+
+
+@query()
+def level_text_statistics(spark, d):
+    """Equal, normalized and similar texts at C0 and at C30."""
+    made = C.level_statistics(mails(spark, d), _assigned(spark, d), D.sentences(spark), ("C0", "C30"))
+    return made.where("category IN ('duplicates', 'near_duplicates')")
+
+
 @query(f"WITH {MAILS_SQL}, {_ASSIGN}, u AS (SELECT subtopic_label, variant_id, count(*) AS n FROM assigned GROUP BY ALL), v AS (SELECT *, sum(n) OVER (PARTITION BY subtopic_label)::DOUBLE / 12 AS even FROM u) SELECT subtopic_label, variant_id, n, round(even, 6) AS even FROM v WHERE n > 1.01 * even")
 def usage_skew(spark, d):
     return rounded(C.usage_skew(_assigned(spark, d), 1.01))
@@ -800,6 +830,18 @@ def japanese_error_categories(spark, d):
     return rounded(E.overlap_counts(E.with_categories(E.misclassified(oof(spark, d), m), ja=True)))
 
 
+@query("SELECT doc_id, sha256(text) AS text_sha256, lang FROM documents")
+def hashed_sink_round_trip(spark, d):
+    """documents written as hashed parts and read back against their digest."""
+    from ..sources import scratch
+    from ..sources import tables as T
+
+    path = f"{scratch.shared_root(spark)}/corpusloom/hashed-{uuid.uuid4().hex}"
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    back = T.read_hashed_jsonl(spark, path, T.write_hashed_jsonl(docs, path, "doc_id"), "doc_id bigint, text string, lang string")
+    return back.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "lang")
+
+
 @query()
 def source_hashes(spark, d):
     """SHA-256 of the bytes of an input's files."""

@@ -6,6 +6,16 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+#: A side is broadcast only if it was counted and has no more rows.
+BROADCAST_ROWS = 50_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if a count that ends early finds few rows; else as it is."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def shared_root(spark: SparkSession) -> str:

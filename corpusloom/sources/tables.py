@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import written
+
 METADATA = "struct<multi_intent: boolean, secondary_intent: string, contains_negation: boolean, component_indices: struct<greeting: bigint, closing: bigint, sender: bigint, subject: bigint, signature: bigint, quoted_reply: bigint, urgency: bigint>>"
 MAIL = (
     "id string, raw_text string, body_text string, label string, template_group string, difficulty string, has_header boolean, has_signature boolean, "
@@ -72,6 +74,54 @@ def write_jsonl(df: DataFrame, path: str, key: str = "id") -> str:
     return digest.hexdigest()
 
 
+#: Bytes of a part of a hashed table, about.
+PART_BYTES = 64 << 20
+
+
+def _part_digests(spark: SparkSession, path: str) -> list[tuple[str, int, str]]:
+    """(name, bytes, SHA-256) of the parts of a folder in order; a part is hashed in one task and is about PART_BYTES long."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/data")
+    rows = found.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256")).collect()
+    return sorted((r["name"], r["size"], r["sha256"]) for r in rows if r["size"])
+
+
+def _tree(parts: list[tuple[str, int, str]]) -> str:
+    """The digest of the parts' digests in order; their names do not matter."""
+    return hashlib.sha256("".join(f"{n} {d}\n" for _, n, d in parts).encode()).hexdigest()
+
+
+def write_hashed_jsonl(df: DataFrame, path: str, key: str = "id", part_bytes: int = PART_BYTES) -> str:
+    """Sorted JSON lines in range parts under path/data, a manifest with a digest for each part under path/manifest; returns the digest of
+    the part digests in order. Tasks write and hash; the driver gets a row for each part. The path must be new. Rows with equal keys
+    are ordered by their text; an empty table has an empty manifest and the digest of nothing."""
+    spark = df.sparkSession
+    lines = written(df.select(F.col(key).alias("key"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value")), "lines")
+    size = lines.agg(F.sum(F.octet_length("value") + 1)).first()[0] or 0
+    ranged = lines.repartitionByRange(max(1, -(-size // part_bytes)), "key", "value").sortWithinPartitions("key", "value")
+    ranged.select("value").write.text(f"{path}/data", lineSep="\n")
+    parts = _part_digests(spark, path)
+    spark.createDataFrame(parts, "name string, size long, sha256 string").coalesce(1).write.json(f"{path}/manifest")
+    return _tree(parts)
+
+
+def damaged_parts(spark: SparkSession, path: str) -> list[str]:
+    """The parts of a hashed table that are missing, unknown or differ from the manifest."""
+    want = {r["name"]: (r["size"], r["sha256"]) for r in spark.read.schema("name string, size long, sha256 string").json(f"{path}/manifest").collect()}
+    have = {name: (size, digest) for name, size, digest in _part_digests(spark, path)}
+    return sorted(name for name in want.keys() | have.keys() if want.get(name) != have.get(name))
+
+
+def read_hashed_jsonl(spark: SparkSession, path: str, approved: str, schema: str = MAIL) -> DataFrame:
+    """JSON lines of a hashed table, each part checked; an error that names the parts that are not as written, or if the whole is not the
+    approved one."""
+    if bad := damaged_parts(spark, path):
+        raise ValueError(f"{path}: damaged parts {', '.join(bad)}")
+    found = _tree(_part_digests(spark, path))
+    if found != approved:
+        raise ValueError(f"{path}: hash {found} is not the approved {approved}")
+    return read_jsonl(spark, f"{path}/data", schema)
+
+
 def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
     """A CSV folder with the declared columns in their order; unknown ones are an error, nulls are empty."""
     if unknown := set(df.columns) - set(fields):
