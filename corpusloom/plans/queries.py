@@ -8,9 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lattice as Lat
 from ..functions import stats as S
 from ..functions import text as X
 from ..operators import audit as U
+from ..operators import conditions as P
 from ..operators import contamination as C
 from ..operators import errors as E
 from ..operators import features as V
@@ -962,6 +964,52 @@ def model_evidence(spark, d):
     return V.evidence(found, 5, "sample_id").join(L.margins(found, cell.intercepts), ["sample_id", "label"])
 
 
+_PUNCT = "replace(translate({0}, '" + "".join(X.PUNCTUATION).replace("'", "''") + "', '" + "".join(X.PUNCTUATION.values()).replace("'", "''") + "'), '…', '...')"
+_D0 = "lower(trim(regexp_replace(" + _PUNCT.format("regexp_replace(coalesce(text, ''), '<[^>]+>', ' ', 'g')") + ", '[\\t\\n\\x0B\\f\\r\\x{85}\\p{Z}]+', ' ', 'g')))"
+
+
+@query(f"SELECT doc_id AS id, 'D0' AS condition, sha256({_D0}) AS text_sha256 FROM documents UNION ALL SELECT doc_id, 'D1', sha256({_D0}) FROM documents")
+def condition_texts(spark, d):
+    """Every document under two conditions, without the steps of Unicode that SQL lacks."""
+    return P.prepare(mails(spark, d), ["D0", "D1"], unicode=False).select("id", "condition", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(f"WITH {OOF_SQL} SELECT sample_id, condition, model, sha256(CASE WHEN condition IN ('D0', 'D1') THEN {_D0} ELSE '' END) AS processed_sha256 FROM oof JOIN documents ON doc_id = sample_id WHERE true_label <> predicted_label")
+def error_processed_texts(spark, d):
+    """Misclassified rows with their text as the model saw it; D2's texts are left out here, as of a run without them."""
+    errors = oof(spark, d).where("true_label <> predicted_label")
+    made = P.with_processed_text(errors, P.prepare(mails(spark, d), ["D0", "D1"], unicode=False))
+    return made.select("sample_id", "condition", "model", F.sha2("processed_text", 256).alias("processed_sha256"))
+
+
+@query()
+def condition_cell_metrics(spark, d):
+    """Metrics of the first three conditions under one model: plain words, words and pairs, cleaned words."""
+    names = ["D0", "D1", "D2"]
+    cells = P.run_cells(_documents(spark, d).select("id", "label", "fold_id"), P.prepare(mails(spark, d), names), names, [L.FitConfig("linear_svc")])
+    out = None
+    for (name, model), cell in cells.items():
+        one = cell.oof.select("sample_id", F.lit(name).alias("condition"), F.lit(model).alias("model"), "fold_id", "true_label", "predicted_label")
+        out = one if out is None else out.unionByName(one)
+    return M.cv_summary(M.metrics_long(out))
+
+
+@query(f"WITH {MAILS_SQL}, {_ASSIGN}, i AS (SELECT DISTINCT sample_id FROM assigned WHERE min_level = 'C30'), r AS (SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS k, count(*) OVER () AS n FROM i) SELECT sample_id FROM r WHERE n <= 20 OR k % (n // 20 + 1) = 0")
+def isolated_sample(spark, d):
+    """At most 20 of the documents that only the last level changes, a stride apart."""
+    return P.stride_sample(_assigned(spark, d).where("min_level = 'C30'"), 20)
+
+
+@query()
+def lattice_segmentation(spark, d):
+    """Benchmark items without their blanks, cut again by the words that two items or more have."""
+    b = table(spark, d, "benchmark").select("item_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    words = b.select("item_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n > 1")
+    dictionary = words.select(F.col("w").alias("surface"), F.col("w").alias("normalized"), F.col("w").alias("dictionary"), F.lit("word").alias("pos"), (4000 - F.least(F.col("n") * 10, F.lit(2000))).cast("int").alias("cost"), F.lit(None).cast("string").alias("short"))
+    tokens = Lat.segment(F.regexp_replace("text", r"(?U)\s+", ""), dictionary)
+    return b.select("item_id", F.size(tokens).alias("tokens"), F.sha2(F.array_join(Lat.token_forms(tokens), " "), 256).alias("tokens_sha256"))
+
+
 # --- generation and reports
 
 
