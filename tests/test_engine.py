@@ -330,3 +330,12 @@ def test_streaming(spark, tmp_path):
     stream = spark.readStream.schema("t timestamp, text string").parquet(f"{tmp_path}/in")
     online.score_batches(online.exact_duplicates(stream, "t"), lambda df: df.select("text"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert sorted(r["text"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["x", "y"]
+
+
+def test_character_shingles_take_time_in_proportion(spark):
+    """Of characters beyond the first plane too; the i-th of a long text is not searched for from its start."""
+    text = "a\U0001f600ß" * 2 + "b"
+    rows = spark.createDataFrame([(text,), ("ab",), ("",), (None,)], "t string").select(X.char_shingles("t", 3, distinct=False).alias("s")).collect()
+    assert [r["s"] for r in rows] == [[text[i : i + 3] for i in range(5)], ["ab"], [], None] or rows[3]["s"] == []
+    plan = spark.createDataFrame([("",)], "t string").select(X.char_shingles("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring" not in plan
