@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..operators.folds import seeded
+from ..operators.folds import rank_within, seeded
 
 #: Own templates: label, group, context, request, detail.
 TEMPLATES = tuple(
@@ -53,7 +53,26 @@ def generate(templates_: DataFrame, config: GenerationConfig = GenerationConfig(
     """per_label mails of each label, as even over its groups and difficulties as can be."""
     variations = templates_.select("*", F.explode(F.sequence(F.lit(0), F.lit(config.per_label - 1))).alias("variation_id"))
     order = Window.partitionBy("label").orderBy("variation_id", seeded(config.seed, "template_group", "variation_id"))
-    rows = variations.withColumn("serial", F.row_number().over(order) - 1).where(F.col("serial") < config.per_label)
+    return _mails(variations.withColumn("serial", F.row_number().over(order) - 1).where(F.col("serial") < config.per_label), config)
+
+
+def templates_of(texts: DataFrame) -> DataFrame:
+    """texts (label, template_group, variation_id, text) with the first three sentences of each as context, request and detail; a null text
+    is empty, as are sentences that a text lacks."""
+    parts = F.filter(F.split(F.coalesce("text", F.lit("")), r"(?<=[.!?])\s+|\n"), lambda x: F.trim(x) != "")
+    return texts.select("label", "template_group", "variation_id", X.let(parts, lambda p: F.struct(*[F.coalesce(F.get(p, F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(("context", "request", "detail"))])).alias("x")).select("label", "template_group", "variation_id", "x.*")
+
+
+def generate_from(texts: DataFrame, config: GenerationConfig = GenerationConfig()) -> DataFrame:
+    """One mail from each of texts (label, template_group, variation_id, text), those of a label numbered in a seeded order by range
+    partitions, so that no label is one task; difficulties and urgencies are as even as can be within a label."""
+    order = seeded(config.seed, "template_group", "variation_id")
+    ranked = rank_within(templates_of(texts.where("label IS NOT NULL")).withColumn("order", order), "label", ["order", "variation_id"], "serial")
+    return _mails(ranked.withColumn("serial", F.col("serial") - 1), config)
+
+
+def _mails(rows: DataFrame, config: GenerationConfig) -> DataFrame:
+    """Mails from rows (label, serial, template_group, variation_id, context, request, detail)."""
     key = ("label", "serial")
     u = lambda what: _uniform(config.seed, F.lit(what), *key)
     rows = rows.withColumns({

@@ -339,3 +339,21 @@ def test_character_shingles_take_time_in_proportion(spark):
     assert [r["s"] for r in rows] == [[text[i : i + 3] for i in range(5)], ["ab"], [], None] or rows[3]["s"] == []
     plan = spark.createDataFrame([("",)], "t string").select(X.char_shingles("t"))._jdf.queryExecution().optimizedPlan().toString()
     assert "substring" not in plan
+
+
+def test_mails_from_given_texts(spark, tmp_path):
+    """One mail a document, seeded, with its first three sentences and even difficulties; the query reads the table."""
+    from corpusloom.plans.queries import QUERIES
+
+    docs = [(i, None if i == 7 else f"First {i}. Second {i}? Third {i}!\nFourth.", "en" if i % 3 else "de", "s", 30) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["synthetic_mail_generation"](spark, str(tmp_path)).collect()
+    assert len(rows) == len({r["id"] for r in rows}) == 60 and sorted(r["variation_id"] for r in rows) == list(range(60))
+    assert {r["id"] for r in rows if r["label"] == "de"} == {f"de-{i:05d}" for i in range(20)}
+    for r in rows:
+        i = r["variation_id"]
+        assert i == 7 or f"\nFirst {i}.\nSecond {i}?\nThird {i}!\n" in r["body_text"] and "Fourth" not in r["raw_text"]
+        assert r["body_text"] in r["raw_text"] and r["has_header"] == r["raw_text"].startswith("From: user")
+    levels = [r["difficulty"] for r in rows if r["label"] == "en"]
+    assert sorted(levels.count(x) for x in set(levels)) == [10, 10, 10, 10]
+    assert sorted(map(str, rows)) == sorted(map(str, QUERIES["synthetic_mail_generation"](spark, str(tmp_path)).collect()))
