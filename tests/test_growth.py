@@ -26,3 +26,13 @@ def test_char_ngrams_are_not_shuffled_with_their_documents(spark):
     df = Counter(g for own in docs.values() for g in own)
     assert {r["term"]: (r["n"], r["df"]) for r in got.collect()} == {g: (n[g], df[g]) for g in n}
     assert "hashpartitioning(doc_id" not in "".join(line for line in plan(got).splitlines() if "term" in line)
+
+
+def test_signature_compares_digests_and_cuts_one(spark):
+    rows = [(1, ["a b c", "b c ß", ""]), (2, []), (3, ["x"])]
+    df = spark.createDataFrame(rows, "id long, s array<string>").select("id", N.signature(F.col("s"), 4).alias("sig"))
+    least = lambda s, salt: min((hashlib.sha256(f"42:{salt}:{x}".encode()).hexdigest()[:16] for x in s), default="0" * 16)
+    assert {r["id"]: r["sig"] for r in df.collect()} == {i: [least(s, salt) for salt in range(4)] for i, s in rows}
+    assert "substring(sha2" not in plan(df)
+    words = spark.createDataFrame([(["a", "b"],), (["a", "b", "c", "a"],), ([],)], "w array<string>")
+    assert [r[0] for r in words.select(X.word_shingles(F.col("w"), 3)).collect()] == [["a b"], ["a b c", "b c a"], []]
