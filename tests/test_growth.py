@@ -6,6 +6,8 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.operators import audit as U
+from corpusloom.operators import contamination as C
 from corpusloom.operators import features as V
 from corpusloom.operators import neardup as N
 
@@ -36,3 +38,23 @@ def test_signature_compares_digests_and_cuts_one(spark):
     assert "substring(sha2" not in plan(df)
     words = spark.createDataFrame([(["a", "b"],), (["a", "b", "c", "a"],), ([],)], "w array<string>")
     assert [r[0] for r in words.select(X.word_shingles(F.col("w"), 3)).collect()] == [["a b"], ["a b c", "b c a"], []]
+
+
+def test_rare_findings_meet_screened_marks_only(spark, monkeypatch):
+    rows = [(i, f"w{i % 7} common x{i % 3} y{i}", "ab"[i % 7 > 2], "g", "t", "easy") for i in range(70)]
+    df = spark.createDataFrame(rows, "id long, raw_text string, label string, template_group string, template_id string, difficulty string").withColumn("body_text", F.col("raw_text"))
+    df = df.withColumns({f: F.lit(False) for f in U.FLAGS}).withColumn("urgency", F.col("id") % 4)
+    found = U.leakage(df, ["w1"], U.Thresholds(min_count=2))
+    every = sorted(map(str, U.finding_records(df, found, ["w1"]).collect()))
+    monkeypatch.setattr(U, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(V, "HOT_TERMS", 1)
+    marks = U._marked(df, ["w1"]).select("id", *U.KEYS)
+    rare = found.where("category = 'class_specific_token'")
+    passed = U._screened(marks, *U._bitmap(rare, rare.count()))
+    assert passed.join(rare, U.KEYS, "left_semi").count() == marks.join(rare, U.KEYS, "left_semi").count() > 0
+    assert passed.count() < marks.count() / 2
+    assert sorted(map(str, U.finding_records(df, found, ["w1"]).collect())) == every
+    judged = next(x for x in plan(U.leakage(df, ["w1"])).split("Physical Plan")[-1].splitlines() if "Aggregate" in x and "category" in x and "min(label" in x)
+    assert "HashAggregate" in judged
+    without = U.leakage(df, ["w1"], U.Thresholds(min_count=2), words=False)
+    assert sorted(map(str, without.collect())) == sorted(map(str, found.where("category NOT IN ('class_specific_token', 'class_specific_bigram')").collect()))
