@@ -58,3 +58,19 @@ def test_rare_findings_meet_screened_marks_only(spark, monkeypatch):
     assert "HashAggregate" in judged
     without = U.leakage(df, ["w1"], U.Thresholds(min_count=2), words=False)
     assert sorted(map(str, without.collect())) == sorted(map(str, found.where("category NOT IN ('class_specific_token', 'class_specific_bigram')").collect()))
+
+
+def test_level_statistics_without_duplicates_reads_no_texts(spark, monkeypatch):
+    rows = [(i, f"text {i % 5}\n\nmore", "ab"[i % 2], f"g{i % 4}", "easy") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, raw_text string, label string, template_group string, difficulty string").withColumn("body_text", F.col("raw_text"))
+    sentences = spark.createDataFrame([(x, i, "fact", f"{x} {i}") for x in "ab" for i in range(12)], "subtopic string, variant_id int, style string, text string")
+    assigned = C.assignment(df.drop("raw_text", "body_text"))
+    both = C.level_statistics(df, assigned, sentences, ("C0", "C30"), near_duplicates=False)
+    twins = {(r["level"], r["key"]): r["value"] for r in both.where("category = 'duplicates'").collect()}
+    for level in ("C0", "C30"):
+        texts = [r["raw_text"] for r in C.contaminate(df, assigned, sentences, (level,)).collect()]
+        groups = 2.0 * sum(n > 1 for n in Counter(texts).values())
+        assert twins[level, "exact_group_count"] == groups and twins[level, "normalized_group_count"] >= groups
+    monkeypatch.setattr(C, "contaminate", None)  # makes the texts of a level
+    plain = C.level_statistics(df, assigned, sentences, ("C0", "C30"), near_duplicates=False, duplicates=False)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, both.where("category <> 'duplicates'").collect()))
