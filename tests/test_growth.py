@@ -74,3 +74,9 @@ def test_level_statistics_without_duplicates_reads_no_texts(spark, monkeypatch):
     monkeypatch.setattr(C, "contaminate", None)  # makes the texts of a level
     plain = C.level_statistics(df, assigned, sentences, ("C0", "C30"), near_duplicates=False, duplicates=False)
     assert sorted(map(str, plain.collect())) == sorted(map(str, both.where("category <> 'duplicates'").collect()))
+
+
+def test_unicode_steps_hold_no_arrow_batch(spark):
+    df = spark.createDataFrame([("&lt;ﬁ&gt; ①",), (None,)], "t string").select(X.nfkc(X.unescape_html(F.col("t"))).alias("t"))
+    assert [r["t"] for r in df.collect()] == ["<fi> 1", None]
+    assert "ArrowEvalPython" not in plan(df)
