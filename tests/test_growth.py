@@ -10,6 +10,7 @@ from corpusloom.operators import audit as U
 from corpusloom.operators import contamination as C
 from corpusloom.operators import features as V
 from corpusloom.operators import neardup as N
+from corpusloom.operators import sharded as S
 
 
 def plan(df):
@@ -80,3 +81,22 @@ def test_unicode_steps_hold_no_arrow_batch(spark):
     df = spark.createDataFrame([("&lt;ﬁ&gt; ①",), (None,)], "t string").select(X.nfkc(X.unescape_html(F.col("t"))).alias("t"))
     assert [r["t"] for r in df.collect()] == ["<fi> 1", None]
     assert "ArrowEvalPython" not in plan(df)
+
+
+def test_a_step_shuffles_neither_cells_nor_state(spark):
+    rows = [(i, "ab"[i % 2], i % 2, " ".join(f"w{(i * j) % 23}" for j in range(1, 9))) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, label string, fold_id int, text string")
+    with S.large_rows(spark):
+        p = S.prepare(df, V.term_counts(df, V.analyze(F.col("text"))), "linear_svc", folds=2)
+        try:
+            state, _, told = S.fit(p, 2)
+            joined = p.by_terms.join(p.idf.hint("shuffle_hash"), "tb")
+            product = S._product(p, state.select("rb", F.col("a").alias("x")))
+            again = state.join(product.withColumnRenamed("x", "product").hint("shuffle_hash"), "rb")
+            for df in (joined, again):
+                df.collect()
+            moved = [x for x in plan(again).split("Physical Plan")[-1].splitlines() if "Exchange" in x and "ENSURE_REQUIREMENTS" in x]
+        finally:
+            p.close()
+    scans = [x for x in plan(again).splitlines() if "Scan parquet" in x and "Bucketed: true" in x]
+    assert told["steps"] == 2 and scans and moved
