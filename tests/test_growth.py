@@ -11,6 +11,7 @@ from corpusloom.operators import contamination as C
 from corpusloom.operators import features as V
 from corpusloom.operators import neardup as N
 from corpusloom.operators import sharded as S
+from corpusloom.plans import queries as Q
 
 
 def plan(df):
@@ -100,3 +101,15 @@ def test_a_step_shuffles_neither_cells_nor_state(spark):
             p.close()
     scans = [x for x in plan(again).splitlines() if "Scan parquet" in x and "Bucketed: true" in x]
     assert told["steps"] == 2 and scans and moved
+
+
+def test_covering_review_sees_words(spark, tmp_path):
+    """One document has all words that its label has for itself, and nothing else that others of its group lack."""
+    rows = [(i, "same words " + ("alone" if i % 2 else "other"), "en" if i % 2 else "de", "s" if i % 2 else "u", 20) for i in range(40)]
+    rows += [(41, "same words alone rare", "en", "s", 21)] + [(43 + 2 * i, "rare", "en", "s", 4) for i in range(10)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    m = Q._sourced(spark, str(tmp_path))
+    found = U.finding_records(m, U.leakage(m, ["idiot", "license"], Q._THRESHOLDS), ["idiot", "license"])
+    words = found.where("category IN ('class_specific_token', 'class_specific_bigram')").select("feature").distinct()
+    seen = found.join(Q.QUERIES["covering_spot_review"](spark, str(tmp_path)).select("id"), "id", "left_semi").select("feature").distinct()
+    assert words.count() > 0 and words.join(seen, "feature", "left_anti").count() == 0
