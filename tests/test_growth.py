@@ -113,3 +113,9 @@ def test_covering_review_sees_words(spark, tmp_path):
     words = found.where("category IN ('class_specific_token', 'class_specific_bigram')").select("feature").distinct()
     seen = found.join(Q.QUERIES["covering_spot_review"](spark, str(tmp_path)).select("id"), "id", "left_semi").select("feature").distinct()
     assert words.count() > 0 and words.join(seen, "feature", "left_anti").count() == 0
+
+
+def test_minhash_signature_has_all_hashes(spark, tmp_path):
+    spark.createDataFrame([(43, "rare", "en", "s", 4)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    signed = {r["id"]: r["signature"] for r in Q.QUERIES["minhash_signature"](spark, str(tmp_path)).collect()}
+    assert signed[43] == "".join(hashlib.sha256(f"42:{salt}:rare".encode()).hexdigest()[:16] for salt in range(64))
