@@ -1,6 +1,7 @@
 """Steps whose cost grew faster than the input: the same results, and plans that move less."""
 
 import hashlib
+import os
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -9,9 +10,11 @@ from corpusloom.functions import text as X
 from corpusloom.operators import audit as U
 from corpusloom.operators import contamination as C
 from corpusloom.operators import features as V
+from corpusloom.operators import models as L
 from corpusloom.operators import neardup as N
 from corpusloom.operators import sharded as S
 from corpusloom.plans import queries as Q
+from corpusloom.sources.scratch import shared_root
 
 
 def plan(df):
@@ -119,3 +122,14 @@ def test_minhash_signature_has_all_hashes(spark, tmp_path):
     spark.createDataFrame([(43, "rare", "en", "s", 4)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     signed = {r["id"]: r["signature"] for r in Q.QUERIES["minhash_signature"](spark, str(tmp_path)).collect()}
     assert signed[43] == "".join(hashlib.sha256(f"42:{salt}:rare".encode()).hexdigest()[:16] for salt in range(64))
+
+
+def test_a_fit_leaves_no_states_behind(spark):
+    rows = [(i, "ab"[i % 2], i % 2, " ".join(f"w{(i * j) % 23}" for j in range(1, 9))) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, label string, fold_id int, text string")
+    root, tables = f"{shared_root(spark)}/corpusloom", {t.name for t in spark.catalog.listTables()}
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    cell = L.fit_cell(df, V.analyze(F.col("text")), L.FitConfig("linear_svc", folds=2, steps=3))
+    left = {x.replace("-", "_").rsplit("_", 1)[0] for x in set(os.listdir(root)) - before}
+    assert cell.oof.count() == 40 and "scores" in left and not {"state", "entries"} & left
+    assert {t.name for t in spark.catalog.listTables()} == tables
