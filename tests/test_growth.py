@@ -133,3 +133,16 @@ def test_a_fit_leaves_no_states_behind(spark):
     left = {x.replace("-", "_").rsplit("_", 1)[0] for x in set(os.listdir(root)) - before}
     assert cell.oof.count() == 40 and "scores" in left and not {"state", "entries"} & left
     assert {t.name for t in spark.catalog.listTables()} == tables
+
+
+def test_fast_signature_hashes_each_shingle_once(spark, monkeypatch):
+    """The least of Spark's own xxhash64 of shingle and salt, whatever number of lists is salted at once."""
+    rows = [(1, ["a b c", "b c ß", ""]), (2, []), (3, ["x"]), (4, None), (5, [f"w{i}" for i in range(300)])]
+    df = spark.createDataFrame(rows, "id long, s array<string>").coalesce(1)
+    plain = F.array(*[F.lpad(F.lower(F.hex(F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(salt + 42)))))), 16, "0") for salt in range(5)])
+    want = {r["id"]: r["p"] for r in df.select("id", plain.alias("p")).collect()} | {2: ["0" * 16] * 5, 4: ["0" * 16] * 5}
+    for hashes in (N.HASHES, 2):
+        monkeypatch.setattr(N, "HASHES", hashes)
+        found = N.signatures(df.withColumnRenamed("s", "__shingles"), "id", 5, family="xxhash64")
+        assert {r["id"]: r["sig"] for r in found.collect()} == want
+    assert plan(found).count("xxhash64(") <= 2 * plan(df.select(F.transform("s", lambda x: F.xxhash64(x)))).count("xxhash64(")
